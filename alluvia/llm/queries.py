@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alluvia.llm import sharding, warc
+from alluvia.llm import bpe, sharding, warc
 from alluvia.storage import Scratch
 
 
@@ -17,12 +18,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.verified(spark, scratch.path("store"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op10_sharding": op10_sharding}
 
 ORACLE_SQL = {
     "op1_warc": """
