@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alluvia.llm import bpe, minhash, sharding, warc
+from alluvia.llm import bpe, fingerprints, minhash, sharding, warc
 from alluvia.storage import Scratch
 
 
@@ -22,6 +22,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.mark(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
@@ -31,7 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
 
 ORACLE_SQL = {
     "op1_warc": """
