@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alluvia.llm import bpe, decontaminate, fingerprints, minhash, sharding, warc
+from alluvia.llm import bpe, decontaminate, fingerprints, language, minhash, sharding, warc
 from alluvia.storage import Scratch
 
 
@@ -30,6 +30,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    profiles = language.learn(docs.filter(~held_out))
+    return language.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
@@ -39,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
 
 ORACLE_SQL = {
     "op1_warc": """
