@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alluvia.llm import bpe, decontaminate, fingerprints, language, minhash, sharding, warc
+from alluvia.llm import bpe, decontaminate, fingerprints, language, minhash, sharding, toxicity, warc
 from alluvia.storage import Scratch
 
 
@@ -18,6 +18,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.verified(spark, scratch.path("store"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    machine = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
 
 ORACLE_SQL = {
     "op1_warc": """
