@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alluvia.llm import bitsliced, bpe, decontaminate, fingerprints, language, minhash, sharding, toxicity, warc
+from alluvia.llm import bitsliced, bpe, decontaminate, fingerprints, language, licences, minhash, sharding, toxicity, warc
 from alluvia.storage import Scratch
 
 
@@ -52,12 +52,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_licences": op9_licences, "op10_sharding": op10_sharding}
 
 ORACLE_SQL = {
     "op3_topk": """
