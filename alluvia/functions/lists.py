@@ -68,7 +68,8 @@ class ListExt:
 
     def unzip(self, fields: Sequence[str] = ("first", "second")) -> Column:
         """A struct with a list of each field; a null list gives a struct of nulls."""
-        return F.struct(*[F.transform(self.c, lambda e, f=f: e[f]).alias(f) for f in fields])
+        of = lambda f: F.transform(self.c, lambda e: e[f]).alias(f)
+        return F.struct(*[of(f) for f in fields])
 
     def enumerate(self) -> Column:
         return F.transform(self.c, lambda v, i: F.struct(i.alias("index"), v.alias("value")))
