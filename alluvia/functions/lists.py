@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alluvia.storage import Scratch
+
 WIDE = 64  # positions above which an element-wise aggregate is better taken over exploded rows
 ARITHMETIC, COMPARISONS, AGGREGATES = ("add", "sub", "mul", "div"), ("eq", "ne", "gt", "ge", "lt", "le"), ("mean", "median", "sum", "count", "max", "min")
 
@@ -157,9 +159,11 @@ def struct_fields(schema: T.StructType, column: Column) -> list[str]:
 
 
 def list_join_exploded(df: DataFrame, left: str, right: str, on: str, how: str = "inner", suffix: str = "_right", name: str = "joined") -> DataFrame:
-    """The same join for long lists: both sides are exploded and joined by (row, key) instead of compared element by element."""
+    """The same join for long lists: both sides are exploded and joined by (row, key) instead of compared element by element.
+
+    Rows are numbered and written first, since three branches must see the same numbers."""
     lf, rf = struct_fields(df.schema, F.col(left)), struct_fields(df.schema, F.col(right))
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = Scratch(df.sparkSession, "listjoin").save(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     l = rows.select("__row", F.posexplode(left).alias("__i", "__l")).withColumn("__k", F.col("__l")[on].cast("string"))
     r = rows.select("__row", F.posexplode(right).alias("__j", "__r")).withColumn("__k", F.col("__r")[on].cast("string")).filter(F.col("__k").isNotNull())
     r = r.groupBy("__row", "__k").agg(F.max_by("__r", "__j").alias("__r"))

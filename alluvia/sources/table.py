@@ -276,6 +276,8 @@ class VersionedTable:
 
     def holding(self, keys: DataFrame, on: Sequence[str], where=None, partitions: dict[str, Sequence] | None = None) -> list[str]:
         """The files with rows whose key is among ``keys``: a semi-join of the key columns alone."""
+        if not any(wanted(x["part"], partitions) for x in self.state().files.values()):
+            return []
         df = self.scan(partitions=partitions)
         df = df.filter(where) if where is not None else df
         found = df.select(*on, F.col("_metadata.file_path").alias("__file")).join(keys.select(*on), list(on), "left_semi").select("__file").distinct()
