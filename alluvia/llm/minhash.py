@@ -3,10 +3,11 @@
 1. Each text's set of word shingles is hashed; ``bands * rows`` multiply-add hashes give minima. Texts with equal sets form a
    class (128-bit digest of the sorted set) and go on as one node, so copies cost nothing further.
 2. Nodes that share a band are candidates. The least node of each bucket is tried against every other one (a star, linear in
-   the bucket); then, while buckets still hold several components, the pairs across components are tried in waves of bounded
-   size. So no pair of a bucket is left out unless its ends are already connected, and no bucket emits all its pairs.
-3. A candidate is rejected by size, then by its signature (more than five standard deviations below the threshold), and is
-   confirmed on the full sets of the texts' own shingles.
+   the bucket); then the pairs of nodes in one bucket but still in different components are compared by 4-bit sketches of their
+   signatures inside the join itself, so that only likely pairs (see 3) are ever emitted. No pair of a bucket is left out unless its
+   ends are already connected. More than WAVE likely pairs a node are verified in waves, which skip what earlier ones connected.
+3. A candidate is rejected by size, or by its signature if that lies more than 4.5 standard deviations below what the threshold
+   gives (3e-6 for a pair just at the threshold), and is confirmed on the full sets of the texts' own shingles.
 4. Components come from alternating large-star and small-star.
 
 A pair at the threshold 0.8 is missed by all of 40 bands of 5 with probability 1.3e-7, and less as it is more alike.
@@ -33,7 +34,7 @@ from alluvia.llm.components import components
 from alluvia.storage import Scratch
 
 U = np.uint64
-WAVE = 4  # cross pairs tried in a wave, as a multiple of the nodes
+WAVE, SIGMAS = 4, 4.5
 
 
 def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
@@ -66,8 +67,8 @@ def sets(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty), bands (one long each), sketch (a byte of each minimum)."""
-    schema = "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"
+    """doc_id, n_shingles, node (digest of the set, null if empty), bands (one long each), sketch (4 bits of each minimum, 16 to a long)."""
+    schema = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows)
@@ -89,51 +90,57 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     keys = W.mix(keys * U(31) + mixed[r::rows][:bands] + salt[:, None])
                 band: list = [None] * len(n)
                 sketch: list = [None] * len(n)
-                low = mixed.astype(np.uint8).T
+                low = np.zeros((len(full), -(-bands * rows // 16) * 16), dtype=np.uint8)
+                low[:, : bands * rows] = (mixed & U(15)).astype(np.uint8).T
+                low = (low[:, ::2] | low[:, 1::2] << 4).view(np.int64)
                 for i, d in enumerate(full):
-                    band[d], sketch[d] = keys[:, i].view(np.int64), low[i].tobytes()
+                    band[d], sketch[d] = keys[:, i].view(np.int64), low[i]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "node", "bands", "sketch"],
                 )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(make, schema)
 
 
-def packed(docs: DataFrame, k: int) -> DataFrame:
-    """node and compressed lower-cased text of every text with words: what verification reads."""
+def packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node and compressed lower-cased text of the documents whose doc_id is wanted; other nodes may come along where doc_ids repeat."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [z.compress((x.as_py() or "").encode("utf-8").lower()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for first, data, offsets in W.slices(batch.column(0)):
-                w = W.find(data, offsets, W.SPACED, True)
-                run, of = sets(w, k)
-                nodes, texts = [], []
-                for d in np.flatnonzero(np.diff(of)):
-                    nodes.append(hashlib.blake2b(run[of[d] : of[d + 1]].tobytes(), digest_size=16).digest())
-                    texts.append(press.compress(w.data[offsets[d] : offsets[d + 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(texts, pa.binary())], names=["node", "packed"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = pa.array([open_(x.as_py()) for x in part.column(0)], pa.large_binary()).cast(pa.large_string())
+                nodes: list[bytes | None] = []
+                for _, data, offsets in W.slices(texts):
+                    run, of = sets(W.find(data, offsets, W.SPACED, True), k)
+                    nodes += [hashlib.blake2b(run[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(of, of[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), part.column(0)], names=["node", "packed"])
 
-    return docs.select("text").mapInArrow(make, "node binary, packed binary")
+    pressed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(press, "doc_id long, packed binary")
+    some = pressed.join(wanted, pressed["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
+    return some.select("packed").mapInArrow(name, "node binary, packed binary").filter(F.col("node").isNotNull())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are at least ``percent`` alike. ``texts``: one row for each node, with its sketch."""
-    left = texts.select(F.col("node").alias("u"), F.col("packed").alias("a"), F.col("sketch").alias("sa"))
-    right = texts.select(F.col("node").alias("v"), F.col("packed").alias("b"), F.col("sketch").alias("sb"))
+    """The pairs (u, v) whose full sets are at least ``percent`` alike. ``texts``: one row for each node."""
+    left = texts.select(F.col("node").alias("u"), F.col("packed").alias("a"))
+    right = texts.select(F.col("node").alias("v"), F.col("packed").alias("b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, s = zstandard.ZstdDecompressor().decompress, percent / 100
+        open_ = zstandard.ZstdDecompressor().decompress
         last: tuple[bytes | None, set] = (None, set())
         for batch in batches:
-            u, v, a, sa, b, sb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "a", "sa", "b", "sb"))
+            u, v, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "a", "b"))
             keep = []
             for i in range(len(u)):
-                n = len(sa[i])
-                same = np.count_nonzero(np.frombuffer(sa[i], dtype=np.uint8) == np.frombuffer(sb[i], dtype=np.uint8))
-                if same < n * s - 5.5 * (n * s * (1 - s)) ** 0.5:
-                    continue
                 if last[0] != v[i]:
                     last = (v[i], shingles(open_(b[i]), k))
                 x, y = shingles(open_(a[i]), k), last[1]
@@ -143,47 +150,39 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     joined = pairs.select("u", "v").join(left, "u").join(right, "v")
-    return joined.select("u", "v", "a", "sa", "b", "sb").mapInArrow(check, "u binary, v binary")
+    return joined.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")
 
 
 def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    hashes = bands * rows
     signed = scratch.save(signatures(docs, k, bands, rows), "signed")
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = scratch.save(nodes, "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     members = scratch.save(banded.join(shared, "band").select("band", "node", "n", "first"), "members")
     star = members.filter(F.col("node") != F.col("first.node")).filter(alike(F.col("n"), F.col("first.n"), percent))
-    star = scratch.save(star.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "star")
-    # Texts of candidates only; which of a class's equal sets is shown does not matter.
-    wanted = members.select("node").distinct()
-    texts = packed(docs, k).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
-    texts = scratch.save(texts.join(nodes.select("node", "sketch"), "node"), "texts")
-    links = scratch.save(confirm(star, texts, k, percent), "links-0")
+    star = star.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
+    known = nodes.join(members.select("node").distinct(), "node").select("node", "n", "least", "sketch")
+    known = scratch.save(known, "known")
+    texts = packed(docs, known.select("least"), k).groupBy("node").agg(F.first("packed").alias("packed"))
+    texts = scratch.save(texts, "texts")
+    star = scratch.save(likely(star, known, hashes, percent), "star")
+    links = scratch.save(confirm(star, texts, k, percent), "links-star")
     labels = components(links, scratch, "star")
-    total = texts.count()
-    wave, waves = 0, 1
-    while wave < waves:
-        left = unsettled(members, labels)
-        if wave == 0:
-            left = scratch.save(left, "left")
-            across = left.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-            if not across:
-                break
-            waves = max(1, -(-int(across) // max(100_000, WAVE * total)))
-        a = left.filter(F.pmod(F.xxhash64("node", "band"), F.lit(waves)) == wave).select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-        b = left.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-        ahead = F.col("u") < F.col("v") if waves == 1 else F.lit(True)
-        pairs = a.join(b, "band").filter((F.col("lu") != F.col("lv")) & ahead & alike(F.col("nu"), F.col("nv"), percent)).select("u", "v").distinct()
-        pairs = pairs.join(star, ["u", "v"], "left_anti").join(star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        more = scratch.save(confirm(scratch.save(pairs, f"pairs-{wave}"), texts, k, percent), f"links-{wave + 1}")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links, scratch, f"wave-{wave}")
-        wave += 1
-    scratch.drop("texts", "members", "left")
+    pairs = scratch.save(across(members, known, labels, hashes, percent).join(star, ["u", "v"], "left_anti"), "pairs")
+    waves = -(-pairs.count() // max(200_000, WAVE * nodes.count()))
+    for wave in range(waves):
+        some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(waves)) == wave)
+        if wave:
+            of = labels.withColumnsRenamed({"v": "root"})
+            some = some.join(of.select("u", F.col("root").alias("ru")), "u", "left").join(of.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v", "left")
+            some = some.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+        links = links.unionByName(scratch.save(confirm(some, texts, k, percent), f"links-{wave}"))
+        labels = components(links, scratch, f"wave-{wave}")
+    scratch.drop("texts", "members", "pairs", "star")
     own = nodes.select("node", "least").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = scratch.save(own, "own")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
@@ -196,8 +195,37 @@ def alike(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that still hold more than one component, with their labels."""
-    named = members.select("band", "node", "n").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+def differing(a: str, b: str, longs: int):
+    """In how many places two sketches differ: a 4-bit field of their exclusive or with any bit set."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_differing(hashes: int, percent: int) -> float:
+    """Sketches that differ in more places belong to sets less than ``percent`` alike, but for SIGMAS standard deviations."""
+    p = (1 - percent / 100) * 15 / 16
+    return hashes * p + SIGMAS * (hashes * p * (1 - p)) ** 0.5
+
+
+def likely(pairs: DataFrame, known: DataFrame, hashes: int, percent: int) -> DataFrame:
+    a, b = known.select(F.col("node").alias("u"), F.col("sketch").alias("su")), known.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
+    near = differing("su", "sv", -(-hashes // 16)) <= most_differing(hashes, percent)
+    return pairs.join(a, "u").join(b, "v").filter(near).select("u", "v")
+
+
+def across(members: DataFrame, known: DataFrame, labels: DataFrame, hashes: int, percent: int) -> DataFrame:
+    """Likely pairs (u > v) of nodes that share a bucket but no component."""
+    of = labels.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = members.select("band", "node", "n").join(of, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     several = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-    return named.join(several, "band", "left_semi")
+    left = named.join(several, "band", "left_semi").join(known.select("node", "sketch"), "node")
+    a = left.select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("sketch").alias("su"))
+    b = left.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("sketch").alias("sv"))
+    near = differing("su", "sv", -(-hashes // 16)) <= most_differing(hashes, percent)
+    both = a.join(b, (a["band"] == b["band"]) & (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & alike(F.col("nu"), F.col("nv"), percent) & near)
+    return both.select("u", "v").distinct()
