@@ -35,6 +35,8 @@ from alluvia.storage import Scratch
 
 U = np.uint64
 WAVE, SIGMAS = 4, 4.5
+CELL, HELD = 256, 1_000_000  # nodes of a hub that are verified together; shingles that a verifying task keeps
+FEW = 2_000_000  # doc_ids that may be broadcast
 
 
 def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
@@ -99,6 +101,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "node", "bands", "sketch"],
                 )
+        W.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(make, schema)
 
@@ -112,45 +115,79 @@ def packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             texts = [z.compress((x.as_py() or "").encode("utf-8").lower()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
 
+    def named(texts: pa.Array) -> list[bytes | None]:
+        nodes: list[bytes | None] = []
+        for _, data, offsets in W.slices(texts):
+            run, of = sets(W.find(data, offsets, W.SPACED, True), k)
+            nodes += [hashlib.blake2b(run[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(of, of[1:])]
+        return nodes
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(a, 256)
+                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), pa.array([z.compress((x.as_py() or "").encode("utf-8").lower()) for x in texts], pa.binary())], names=["node", "packed"])
+        W.release()
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = pa.array([open_(x.as_py()) for x in part.column(0)], pa.large_binary()).cast(pa.large_string())
-                nodes: list[bytes | None] = []
-                for _, data, offsets in W.slices(texts):
-                    run, of = sets(W.find(data, offsets, W.SPACED, True), k)
-                    nodes += [hashlib.blake2b(run[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(of, of[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), part.column(0)], names=["node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), part.column(0)], names=["node", "packed"])
+        W.release()
 
-    pressed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(press, "doc_id long, packed binary")
-    some = pressed.join(wanted, pressed["doc_id"].eqNullSafe(wanted["least"]), "left_semi")
-    return some.select("packed").mapInArrow(name, "node binary, packed binary").filter(F.col("node").isNotNull())
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    if wanted.count() <= FEW:  # 16 MB of ids are broadcast; more are joined in an exchange of compressed texts
+        out = own.join(F.broadcast(wanted), own["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(plain, "node binary, packed binary")
+    else:
+        some = own.mapInArrow(press, "doc_id long, packed binary")
+        some = some.join(wanted, some["doc_id"].eqNullSafe(F.col("least")), "left_semi")
+        out = some.select("packed").mapInArrow(name, "node binary, packed binary")
+    return out.filter(F.col("node").isNotNull())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are at least ``percent`` alike. ``texts``: one row for each node."""
-    left = texts.select(F.col("node").alias("u"), F.col("packed").alias("a"))
-    right = texts.select(F.col("node").alias("v"), F.col("packed").alias("b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose full sets are at least ``percent`` alike. ``texts``: node, hub, packed, one row for each node.
+
+    Nodes of one hub are dealt to cells of about CELL; a pair is looked at where its two cells meet, and a text goes there once however
+    many pairs it has there. So texts are not copied for each pair, and no task holds more than two cells."""
+    sizes = texts.groupBy("hub").agg(F.count("*").alias("size"))
+    placed = texts.select("node", "hub").join(sizes, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL)).alias("at")).alias("cell"))
+    met = pairs.join(placed.select(F.col("node").alias("u"), F.col("cell").alias("cu")), "u").join(placed.select(F.col("node").alias("v"), F.col("cell").alias("cv")), "v")
+    met = met.select("u", "v", F.xxhash64(F.least("cu", "cv"), F.greatest("cu", "cv")).alias("meeting"))
+    ends = met.select(F.col("meeting").alias("place"), F.col("u").alias("node")).unionByName(met.select(F.col("meeting").alias("place"), F.col("v").alias("node"))).distinct()
+    there = ends.join(texts.select("node", "packed"), "node").select("place", "node", "packed")
+
+    @W.releasing
+    def check(own: pa.Table, found: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
-        last: tuple[bytes | None, set] = (None, set())
-        for batch in batches:
-            u, v, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("u", "v", "a", "b"))
-            keep = []
-            for i in range(len(u)):
-                if last[0] != v[i]:
-                    last = (v[i], shingles(open_(b[i]), k))
-                x, y = shingles(open_(a[i]), k), last[1]
-                both = len(x & y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-    joined = pairs.select("u", "v").join(left, "u").join(right, "v")
-    return joined.select("u", "v", "a", "b").mapInArrow(check, "u binary, v binary")
+        packed_ = dict(zip(found.column("node").to_pylist(), found.column("packed").to_pylist()))
+        known: dict[bytes, set] = {}
+        held = 0
+
+        def of(node: bytes) -> set:
+            nonlocal held
+            if node not in known:
+                if held > HELD:
+                    known.clear()
+                    held = 0
+                known[node] = shingles(open_(packed_[node]), k)
+                held += len(known[node])
+            return known[node]
+
+        keep = []
+        order = sorted(zip(own.column("v").to_pylist(), own.column("u").to_pylist(), range(own.num_rows)))
+        for v, u, i in order:
+            x, y = of(u), of(v)
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append(i)
+        return own.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    return met.groupBy("meeting").cogroup(there.groupBy("place")).applyInArrow(check, "u binary, v binary")
 
 
 def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -165,10 +202,11 @@ def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows
     members = scratch.save(banded.join(shared, "band").select("band", "node", "n", "first"), "members")
     star = members.filter(F.col("node") != F.col("first.node")).filter(alike(F.col("n"), F.col("first.n"), percent))
     star = star.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
-    known = nodes.join(members.select("node").distinct(), "node").select("node", "n", "least", "sketch")
+    hubs = members.groupBy("node").agg(F.min("first.node").alias("hub"))
+    known = nodes.join(hubs, "node").select("node", "n", "least", "sketch", "hub")
     known = scratch.save(known, "known")
     texts = packed(docs, known.select("least"), k).groupBy("node").agg(F.first("packed").alias("packed"))
-    texts = scratch.save(texts, "texts")
+    texts = scratch.save(texts.join(known.select("node", "hub"), "node"), "texts")
     star = scratch.save(likely(star, known, hashes, percent), "star")
     links = scratch.save(confirm(star, texts, k, percent), "links-star")
     labels = components(links, scratch, "star")
