@@ -30,6 +30,11 @@ LATER = {
 }
 FORMS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 FORMS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)} | {ord("Σ"): ord("σ")}
+#: Marks that came after the Unicode version of the library's NFC, which so neither moves nor composes them.
+NEWER = re.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e"
+    "\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
 SEPARATORS = re.compile("[\x1c-\x1f]")
 LATE = re.compile("[" + "".join(map(chr, FORMS)) + "]")
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -132,7 +137,7 @@ class Bpe:
         """(ids, tokens), each joined by a space, of a run of text: normalised, then cut into words."""
         pattern = self.ascii
         if not run.isascii():
-            run, pattern = unicodedata.normalize("NFC", run), self.pattern
+            run, pattern = "".join(unicodedata.normalize("NFC", x) for x in NEWER.split(run)), self.pattern
             if LATE.search(run):  # forms that lower() lacks, or chooses by what stands around a letter
                 run = run.translate(FORMS)
         words = [self.words[w] for w in pattern.findall(run.lower())]
