@@ -88,7 +88,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int
     share = labels.mean()
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms), g.normal(0, 0.02, (n_terms, factors))
     gw, gv, gb = np.full(n_terms, 1e-6), np.full((n_terms, factors), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-300 * 64 // len(texts)))):  # 300 steps at least, however few the texts
         order = g.permutation(len(texts))
         for a in range(0, len(order), 64):
             some = order[a : a + 64]
