@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from alluvia.storage import Scratch
 
 WIDE = 64  # positions above which an element-wise aggregate is better taken over exploded rows
-ARITHMETIC, COMPARISONS, AGGREGATES = ("add", "sub", "mul", "div"), ("eq", "ne", "gt", "ge", "lt", "le"), ("mean", "median", "sum", "count", "max", "min")
+ARITHMETIC, COMPARISONS, AGGREGATES = tuple("add sub mul div".split()), tuple("eq ne gt ge lt le".split()), tuple("mean median sum count max min".split())
 
 
 def col(c: str | Column) -> Column:
@@ -88,8 +88,9 @@ class ListExt:
         turned = F.concat(F.slice(self.c, size - k + 1, k), F.slice(self.c, F.lit(1), size - k))
         return F.when(size > 0, turned).otherwise(self.c)
 
-    def windows(self, size: int, step: int = 1) -> Column:
+    def windows(self, size: int, step: int | None = None) -> Column:
         """Full windows only."""
+        step = 1 if step is None else step
         positive(size, "size"), positive(step, "step")
         starts = F.sequence(F.lit(0), F.size(self.c) - size, F.lit(step))
         return self._parts(F.size(self.c) >= size, starts, size)
@@ -102,7 +103,7 @@ class ListExt:
     def _parts(self, some: Column, starts: Column, size: int) -> Column:
         return F.when(some, F.transform(starts, lambda i: F.slice(self.c, i + 1, F.lit(size)))).when(self.c.isNotNull(), F.slice(F.array(self.c), F.lit(1), F.lit(0)))
 
-    def position(self, op: str, value: float) -> Column:
+    def position(self, op: str, value: float | int) -> Column:
         """The first index whose element, as a double, compares so; null if there is none."""
         one_of(op, COMPARISONS, "the comparison")
         v = F.lit(float(value))
@@ -115,12 +116,12 @@ class ListExt:
         found = F.filter(F.transform(doubles(self.c), lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())
         return F.get(found, F.lit(0))
 
-    def flat_map(self, op: str, value: float) -> Column:
+    def flat_map(self, op: str, value: float | int) -> Column:
         """Arithmetic of each element with a number, as doubles; nulls stay."""
         one_of(op, ARITHMETIC, "the operation")
         return F.transform(doubles(self.c), lambda x: arithmetic(x, F.lit(float(value)), op))
 
-    def join(self, other: str | Column, on: str, how: str = "inner", suffix: str = "_right", fields: Sequence[str] | None = None, other_fields: Sequence[str] | None = None, schema: T.StructType | None = None) -> Column:
+    def join(self, other: str | Column, on, how="inner", suffix="_right", fields: Sequence[str] | None = None, other_fields: Sequence[str] | None = None, schema: T.StructType | None = None) -> Column:
         """Join two lists of structs on a field, row by row: equality as text, nulls match nothing, of equal keys at the right the last wins.
 
         The output needs the fields of both lists: give them, or a frame's schema that holds both columns by name."""
@@ -158,7 +159,7 @@ def struct_fields(schema: T.StructType, column: Column) -> list[str]:
     return list(schema[name].dataType.elementType.fieldNames())
 
 
-def list_join_exploded(df: DataFrame, left: str, right: str, on: str, how: str = "inner", suffix: str = "_right", name: str = "joined") -> DataFrame:
+def list_join_exploded(df: DataFrame, left: str, right: str, on, how="inner", suffix="_right", name: str = "joined") -> DataFrame:
     """The same join for long lists: both sides are exploded and joined by (row, key) instead of compared element by element.
 
     Rows are numbered and written first, since three branches must see the same numbers."""

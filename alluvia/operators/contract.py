@@ -5,8 +5,8 @@ from __future__ import annotations
 import functools
 import json
 import logging
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,7 @@ class SchemaViolation:
     actual: str | None = None
 
     def to_dict(self) -> dict[str, str | None]:
-        return {"column": self.column, "issue": self.issue, "expected": self.expected, "actual": self.actual}
+        return asdict(self)
 
     def __str__(self) -> str:
         what = {"missing": f"is missing, {self.expected} is expected", "type_mismatch": f"is {self.actual}, {self.expected} is expected", "extra": "is not expected"}
@@ -38,16 +38,16 @@ class SchemaViolation:
 class SchemaError(Exception):
     """Holds the violations of the kind that failed."""
 
-    def __init__(self, violations: list[SchemaViolation]):
-        self.violations = list(violations)
+    def __init__(self, found: Iterable[SchemaViolation]):
+        violations = self.violations = list(found)
         super().__init__("the schema breaks its contract: " + "; ".join(map(str, violations)))
 
 
 class Skip:
     """What a contract returns in place of a frame when a batch is not to be written."""
 
-    def __init__(self, violations: list[SchemaViolation]):
-        self.violations = violations
+    def __init__(self, why: Iterable[SchemaViolation]):
+        self.violations = list(why)
 
 
 def data_type(t: T.DataType | str) -> T.DataType:
@@ -81,7 +81,7 @@ def write_quarantine(df: DataFrame, violations: list[SchemaViolation], store: st
         return
     try:
         table = VersionedTable(df.sparkSession or SparkSession.getActiveSession(), store)
-        marked = df.withColumns({"_violations": F.lit(json.dumps([v.to_dict() for v in violations])), "_quarantined_at": F.lit(now or datetime.now(timezone.utc)).cast("timestamp")})
+        marked = df.withColumns({"_violations": F.lit(json.dumps(list(map(SchemaViolation.to_dict, violations)))), "_quarantined_at": F.lit(now or datetime.now(timezone.utc)).cast("timestamp")})
         table.append(marked) if table.exists() else table.create(marked)
     except Exception as e:
         log.warning("a rejected batch was not written to %s: %s", store, e)

@@ -32,7 +32,8 @@ def sql_literal(value, kind: T.DataType) -> str:
         return f"DATE '{value}'" if not isinstance(value, str) else f"CAST('{value}' AS DATE)"
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return f"CAST({int(value)} AS {kind.simpleString().upper()})"
-    return "'" + str(value).replace("'", "''") + "'"
+    quote = "'"
+    return f"{quote}{str(value).replace(quote, 2 * quote)}{quote}"
 
 
 def partition_values(batch: DataFrame, columns: Sequence[str]) -> dict[str, list] | None:

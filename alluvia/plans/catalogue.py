@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alluvia.functions.lists import agg_of_range, aggregate_elementwise, ieee_div, list_ext, list_join_exploded, operate_scalar_on_list
+from alluvia.functions.lists import AGGREGATES, COMPARISONS, agg_of_range, aggregate_elementwise, ieee_div, list_ext, list_join_exploded, operate_scalar_on_list
 from alluvia.functions.parsing import replace_values, rolling_mean, strftime, to_date, zfill
 from alluvia.functions.signal import apply_fft, fft_freqs, interpolate_columns
 from alluvia.operators import merge
@@ -553,7 +553,7 @@ def positions(op: str) -> str:
 
 @query(f"WITH {LISTS} SELECT k, {positions('=')} AS eq, {positions('<>')} AS ne, {positions('>')} AS gt, {positions('>=')} AS ge, {positions('<')} AS lt, {positions('<=')} AS le FROM o")
 def list_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lists(spark, sf_dir).select("k", *[list_ext("q").position(op, 25).cast("long").alias(op) for op in ("eq", "ne", "gt", "ge", "lt", "le")])
+    return lists(spark, sf_dir).select("k", *[list_ext("q").position(op, 25).cast("long").alias(op) for op in COMPARISONS])
 
 
 @query(rows_of("list_transform(q, lambda z: round(z / 4, 6))"))
@@ -611,7 +611,7 @@ def ranged(agg: str) -> str:
 @query(f"WITH {LISTS} SELECT k, round({ranged('avg')}, 6) AS mean, round({ranged('median')}, 6) AS median, {ranged('sum')} AS sum, nullif(CAST({ranged('count')} AS DOUBLE), 0) AS count, {ranged('max')} AS max, {ranged('min')} AS min FROM o")
 def list_agg_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda agg: agg_of_range("q", "n", agg, 2, 6, (4, 4))
-    return lists(spark, sf_dir).select("k", *[(F.round(of(a), 6) if a in ("mean", "median") else of(a)).alias(a) for a in ("mean", "median", "sum", "count", "max", "min")])
+    return lists(spark, sf_dir).select("k", *[(F.round(of(a), 6) if a in ("mean", "median") else of(a)).alias(a) for a in AGGREGATES])
 
 
 EMB = "e AS (SELECT label, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"

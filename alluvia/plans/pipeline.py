@@ -22,10 +22,14 @@ from alluvia.sources.state import Ledger, code_hash
 from alluvia.sources.table import VersionedTable
 
 log = logging.getLogger(__name__)
+Names = str | Sequence[str] | None
+Options = dict | None
+Where, Every, Session = str | None, int | None, SparkSession | None
+Clock = Callable[[], datetime] | None
 
 
 class IncrementalPipeline:
-    def __init__(self, fn: Callable[..., DataFrame], source, target: str, merge_on: str | Sequence[str] | None = None, fail_on_version_mismatch: bool = False, file_format: str = "parquet", watermark_store: str | None = None, partition_by: str | Sequence[str] | None = None, scd_type: int = 1, history_target: str | None = None, compact_every: int | None = None, compute_context: SparkSession | None = None, reader_kwargs: dict | None = None, concat_options: dict | None = None, order_by: str | None = None, now: Callable[[], datetime] | None = None):
+    def __init__(self, fn: Callable[..., DataFrame], source, target: str, merge_on: Names = None, partition_by: Names = None, scd_type: int = 1, history_target: Where = None, file_format: str = "parquet", watermark_store: Where = None, compact_every: Every = None, fail_on_version_mismatch: bool = False, compute_context: Session = None, reader_kwargs: Options = None, concat_options: Options = None, order_by: str | None = None, now: Clock = None):
         if merge_on is not None and not merge.listed(merge_on):
             raise ValueError("merge_on names no column; leave it out to append")
         if scd_type not in (1, 2, 4):
@@ -39,7 +43,8 @@ class IncrementalPipeline:
         functools.update_wrapper(self, fn)
         self.fn, self.source, self.target, self.merge_on = fn, source, target, merge_on
         self.fail_on_version_mismatch, self.file_format = fail_on_version_mismatch, file_format
-        self.watermark_store = watermark_store or target.rstrip("/") + "/.watermark"
+        below = target if not target.endswith("/") else target[:-1]
+        self.watermark_store = watermark_store if watermark_store else f"{below}/.watermark"
         self.partition_by, self.scd_type, self.history_target, self.compact_every = partition_by, scd_type, history_target, compact_every
         self.compute_context, self.reader_kwargs, self.concat_options, self.order_by = compute_context, reader_kwargs, concat_options, order_by
         self.now = now or (lambda: datetime.now(timezone.utc))
@@ -76,7 +81,7 @@ class IncrementalPipeline:
     @staticmethod
     def labels(source: Source, before: Any, batch: Batch) -> list[str]:
         if isinstance(source, DirSource):
-            old = set(before) if isinstance(before, list) else set()
+            old = {*before} if isinstance(before, list) else {None}
             return [p for p in batch.cursor if p not in old]
         return [f"v{batch.cursor}"] if isinstance(source, TableSource) else [str(batch.cursor)[:100]]
 
@@ -101,7 +106,7 @@ class IncrementalPipeline:
         else:
             merge.write_append(table, df, parts)
 
-    def run(self, dry_run: bool = False) -> list[str]:
+    def run(self, dry_run=False) -> list[str]:
         """Ingest what is new; what it was: paths of files, ``v<version>`` of a table, the cursor of another source. Nothing new: []."""
         cursors, sources = self.ledger.cursors(), self.sources
         found = [(k, b) for k, s in enumerate(sources) if (b := s.poll(cursors.get(k))) is not None]
@@ -134,11 +139,11 @@ class IncrementalPipeline:
     def status(self) -> DataFrame:
         return self.ledger.frame()
 
-    def maintain(self, compact: bool = True, z_order_by: str | Sequence[str] | None = None, vacuum: bool = True, retention_hours: float = 168) -> None:
+    def maintain(self, compact: bool = True, z_order_by: Names = None, vacuum: bool = True, retention_hours: float = 168) -> None:
         maintain_table(self.target, compact, z_order_by, vacuum, retention_hours, self.spark)
 
 
-def incremental(source, target: str, merge_on: str | Sequence[str] | None = None, fail_on_version_mismatch: bool = False, file_format: str = "parquet", watermark_store: str | None = None, partition_by: str | Sequence[str] | None = None, scd_type: int = 1, history_target: str | None = None, compact_every: int | None = None, compute_context: SparkSession | None = None, staging: Any = None, reader_kwargs: dict | None = None, concat_options: dict | None = None, order_by: str | None = None, now: Callable[[], datetime] | None = None) -> Callable[[Callable[..., DataFrame]], IncrementalPipeline]:
+def incremental(source, target: str, merge_on: Names = None, partition_by: Names = None, scd_type: int = 1, history_target: Where = None, file_format: str = "parquet", watermark_store: Where = None, compact_every: Every = None, fail_on_version_mismatch: bool = False, compute_context: Session = None, staging: Any = None, reader_kwargs: Options = None, concat_options: Options = None, order_by: str | None = None, now: Clock = None) -> Callable[[Callable[..., DataFrame]], IncrementalPipeline]:
     """Make a transform an incremental pipeline.
 
     source: a folder, a table's path, anything with ``poll(since)``, or a list of these. merge_on: keys of an upsert; without it rows are
@@ -147,6 +152,7 @@ def incremental(source, target: str, merge_on: str | Sequence[str] | None = None
     give it. order_by: which of a batch's equal keys is the last (SCD-4). now: the clock."""
 
     def decorate(fn: Callable[..., DataFrame]) -> IncrementalPipeline:
-        return IncrementalPipeline(fn, source, target, merge_on, fail_on_version_mismatch, file_format, watermark_store, partition_by, scd_type, history_target, compact_every, compute_context, reader_kwargs, concat_options, order_by, now)
+        given = {"file_format": file_format, "watermark_store": watermark_store, "compact_every": compact_every, "compute_context": compute_context, "reader_kwargs": reader_kwargs, "concat_options": concat_options}
+        return IncrementalPipeline(fn, source, target, merge_on, partition_by, scd_type, history_target, fail_on_version_mismatch=fail_on_version_mismatch, order_by=order_by, now=now, **given)
 
     return decorate

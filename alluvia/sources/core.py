@@ -19,6 +19,7 @@ from alluvia.storage import Fs
 
 SUFFIXES = {"parquet": (".parquet",), "csv": (".csv",), "ndjson": (".ndjson",)}
 OPTION_NAMES = {"separator": "sep", "null_values": "nullValue", "quote_char": "quote", "has_header": "header", "skip_rows": "skipRows", "infer_schema": "inferSchema", "try_parse_dates": None, "ignore_errors": None}
+Options = dict[str, Any] | None
 CHECKED_ONE_BY_ONE = 64  # files whose schemas are compared singly
 
 
@@ -62,12 +63,7 @@ class FrameSource:
         return Batch(self.fn(), None)
 
 
-def from_query(fn: Callable[[Any], DataFrame | None], cursor_on: str) -> QuerySource:
-    return QuerySource(fn, cursor_on)
-
-
-def from_frame(fn: Callable[[], DataFrame]) -> FrameSource:
-    return FrameSource(fn)
+from_query, from_frame = QuerySource, FrameSource
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> list[str]:
@@ -125,7 +121,7 @@ def _json_order(spark: SparkSession, path: str, columns: list[str]) -> list[str]
     return [f"`{c}`" for c in [*seen, *[c for c in columns if c not in seen]]]
 
 
-def scan_files(spark: SparkSession, paths: Sequence[str], fmt: str, reader_kwargs: dict[str, Any] | None = None, concat_options: dict[str, Any] | None = None, now: datetime | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, paths: Sequence[str], fmt: str, reader_kwargs: Options = None, concat_options: Options = None, now: datetime | None = None) -> DataFrame:
     """One lazy frame of all files, with ``_source_file`` and ``_ingested_at``.
 
     Schemas must be equal, unless ``concat_options`` has ``how`` as ``diagonal`` (missing columns are null) or one that ends in
@@ -156,11 +152,11 @@ def _tagged(df: DataFrame, now: datetime | None) -> DataFrame:
 class DirSource:
     """Files below a folder; the cursor is the sorted list of all paths seen so far, also of files that have since gone."""
 
-    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", reader_kwargs: dict | None = None, concat_options: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet", reader_kwargs: Options = None, concat_options: Options = None):
         self.spark, self.root, self.fmt, self.reader_kwargs, self.concat_options = spark, root, fmt, reader_kwargs, concat_options
 
     def poll(self, since: Any) -> Batch | None:
-        seen = set(since) if isinstance(since, list) else set()
+        seen = {*since} if isinstance(since, list) else set()
         new = [p for p in list_files(self.spark, self.root, SUFFIXES[self.fmt]) if p not in seen]
         if not new:
             return None

@@ -209,7 +209,7 @@ def test_a_skipped_batch_is_quarantined_and_not_polled_again(spark, tmp_path):
     assert json.loads(bad._violations)[0]["column"] == "name" and bad._quarantined_at and bad.id == 1
 
 
-def batches(sizes, schema_=pa.schema([("id", pa.int64()), ("name", pa.string())])):
+def batches(sizes, schema_):
     start = 0
     for n in sizes:
         yield pa.record_batch([pa.array(range(start, start + n), pa.int64()), pa.array(["x"] * n)], schema=schema_)
@@ -217,17 +217,17 @@ def batches(sizes, schema_=pa.schema([("id", pa.int64()), ("name", pa.string())]
 
 
 def test_arrow_batches(spark):
-    schema_ = pa.schema([("id", pa.int64()), ("name", pa.string())])
+    schema_ = pa.schema({"id": pa.int64(), "name": pa.string()})
 
     def factory():
         start, out = 0, []
-        s = pa.schema([("id", pa.int64()), ("name", pa.string())])
+        s = pa.schema({"id": pa.int64(), "name": pa.string()})
         for n in (2, 0, 3, 3):
             out.append(pa.record_batch([pa.array(range(start, start + n), pa.int64()), pa.array(["x"] * n, pa.string())], schema=s))
             start += n
         return pa.RecordBatchReader.from_batches(s, out)
 
-    for df in (make_lazy(pa.RecordBatchReader.from_batches(schema_, batches([2, 0, 3, 3])), spark), make_lazy(factory, spark)):
+    for df in (make_lazy(pa.RecordBatchReader.from_batches(schema_, batches([2, 0, 3, 3], schema_)), spark), make_lazy(factory, spark)):
         assert df.columns == ["id", "name"] and ids(df) == list(range(8))
         assert df.limit(5).count() == 5 and df.select("name").distinct().count() == 1
         assert df.filter("id >= 6").count() == 2

@@ -153,7 +153,8 @@ def test_literals_and_predicates(spark):
     assert merge.sql_literal(date(2024, 1, 2), T.DateType()) == "DATE '2024-01-02'"
     df = frame(spark, [(2021, "US"), (2020, "EU"), (2021, "EU")], "year int, region string")
     p = merge.partition_predicate(df, ["year", "region"])
-    assert p == "year IN (CAST(2020 AS INT), CAST(2021 AS INT)) AND region IN ('EU', 'US')"
+    years, regions = p.split(" AND ")
+    assert years == "year IN (CAST(2020 AS INT), CAST(2021 AS INT))" and regions == "region IN ('EU', 'US')"
     assert df.filter(p).count() == 3
     assert merge.partition_predicate(frame(spark, [("EU",), (None,)], "r string"), ["r"]) is None
     assert merge.partition_predicate(frame(spark, [(1.5,)], "r double"), ["r"]) is None
