@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alluvia.llm import bitsliced, bpe, decontaminate, fingerprints, language, licences, minhash, sharding, toxicity, warc
+from alluvia.llm.oracle import ORACLE_SQL
 from alluvia.storage import Scratch
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
@@ -62,22 +65,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_decontaminate": op6_decontaminate, "op7_language": op7_language, "op8_minhash": op8_minhash, "op9_licences": op9_licences, "op10_sharding": op10_sharding}
-
-ORACLE_SQL = {
-    "op3_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-            FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-    """,
-    "op1_warc": """
-        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-        SELECT page_id, payload_bytes, p.payload_digest,
-            CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
-    """,
-}

@@ -57,7 +57,7 @@ def test_no_pages(spark, tmp_path):
     assert warc.verified(spark, f"{tmp_path}/s").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_topk"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     got, want = compare(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name])
     assert got == want
