@@ -3,14 +3,15 @@
 Texts arrive in batches, in the order of doc_id; a batch is dealt to chunks of consecutive doc_ids. A chunk's distinct window
 fingerprints, cut by their leading bits into buckets and sorted, are the chunk's immutable runs. In each bucket the runs of
 a batch are merged in the order of their chunks with the history (the runs of earlier batches), and the answer for each run
-is a bitmap: which of its fingerprints stand in an earlier chunk or batch. What repeats within a chunk, the chunk sees by itself.
-Only 8 bytes a distinct window and 1 bit back are exchanged; the texts are exchanged once, and both passes read that exchange.
+is a bitmap, which of its fingerprints stand in an earlier chunk or batch, and where first. What repeats within a chunk, the chunk sees by itself.
+Some 8 bytes a distinct window are exchanged, and the texts once: every pass reads that one exchange.
 
-A fingerprint has the bits that choose the bucket, a 48-bit sort key, and a 16-bit check from a second hash with another base,
-which must agree wherever keys meet: 70 bits in all with 64 buckets, so that of n windows some n**2 / 2**71 pairs could be
-taken for equal without being so (2e-5 pairs for a hundred million windows); matches within a chunk are compared by the same bits.
+A match is verified before it counts. Maximal stretches of matching windows go, as text and once a chunk, to the chunk that had them first, where
+their words are compared with its own; matches within a chunk are compared there. Windows that fail (equal fingerprints, other
+words) are not removed; a true repeat could then be missed, but only where a 64-bit fingerprint of an earlier window collides with it. The texts of
+earlier batches are not at hand: against the history a second 64-bit hash, kept in the runs of an index, must agree.
 
-With an index the batch's new fingerprints are written as a run of that index; when FAN runs of a level have gathered,
+With ``index`` the batch's new fingerprints are written as a run of that index; when FAN runs of a level have gathered,
 they are compacted to one of the next level. Without it nothing outlives the call.
 
 Defined results: a null text has no words; a text of fewer words than a window keeps them all; rows that share a doc_id do
@@ -35,15 +36,16 @@ from alluvia.llm import words as W
 from alluvia.storage import Fs, Scratch
 
 U = np.uint64
-CHUNK = 8 << 20  # bytes of text in a chunk, about
-CHUNKS = 4096  # most chunks in a batch
+CHUNK = 4 << 20  # bytes of text in a chunk, about
+CHUNKS = 8192  # most chunks in a batch
 FAN = 4
 LAST = (1 << 63) - 1
+RUN = "bucket int, keys binary, checks binary"
 CHECK = W.Powers(0xBF58476D1CE4E5B9)
 
 
 class Index:
-    """Runs of earlier batches: Parquet files of (bucket, keys, checks), listed in a manifest for each batch."""
+    """Runs of earlier batches: Parquet files of (bucket, keys, checks), sorted in each bucket, listed in a manifest for each batch."""
 
     def __init__(self, spark: SparkSession, path: str, bits: int = 6):
         self.spark, self.path, self.bits, self.fs = spark, path.rstrip("/"), bits, Fs(spark)
@@ -58,7 +60,7 @@ class Index:
 
     def history(self) -> DataFrame | None:
         runs = [f"{self.path}/{name}" for name, _ in self.manifest()["runs"]]
-        return self.spark.read.schema("bucket int, keys binary").parquet(*runs) if runs else None
+        return self.spark.read.schema(RUN).parquet(*runs) if runs else None
 
     def add(self, pieces: DataFrame, last: int | None) -> None:
         """Write one run from what ``merged`` says is new; compact where a level is full."""
@@ -70,56 +72,105 @@ class Index:
         while full := [k for k in {k for _, k in m["runs"]} if sum(x == k for _, x in m["runs"]) >= FAN]:
             level = min(full)
             old = [n for n, k in m["runs"] if k == level]
-            joined = self.spark.read.schema("bucket int, keys binary").parquet(*[f"{self.path}/{n}" for n in old])
+            joined = self.spark.read.schema(RUN).parquet(*[f"{self.path}/{n}" for n in old])
             name = f"run-{uuid.uuid4().hex[:12]}"
-            joined.groupBy("bucket").applyInArrow(compacted, "bucket int, keys binary").write.option("compression", "none").parquet(f"{self.path}/{name}")
+            joined.groupBy("bucket").applyInArrow(compacted, RUN).write.option("compression", "none").parquet(f"{self.path}/{name}")
             m = {"version": m["version"] + 1, "runs": [*[r for r in m["runs"] if r[0] not in old], [name, level + 1]], "last": m["last"]}
             self.commit(m)
             for n in old:
                 self.fs.delete(f"{self.path}/{n}")
 
 
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=U) if x.is_valid else np.zeros(0, dtype=U) for x in column]
+
+
 def compacted(table: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([np.frombuffer(x.as_py(), dtype=U) for x in table.column("keys")]))
-    return pa.table({"bucket": table.column("bucket").slice(0, 1).cast(pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary())})
-
-
-def windows(text: pa.ChunkedArray, k: int):
-    """For each slice of a text column: first row, its words, first words of its windows, their fingerprints and checks."""
-    for first, data, offsets in W.slices(text):
-        w = W.find(data, offsets, W.SPACED, False)
-        h = w.hashes()
-        at, run = w.runs(h, k)
-        up, down = CHECK.upto(len(h) + 1)
-        sums = np.zeros(len(h) + 1, dtype=U)
-        np.cumsum(W.mix(h + U(0x9E3779B97F4A7C15)) * up[: len(h)], out=sums[1:])
-        check = W.mix((sums[at + k] - sums[at]) * down[at])
-        yield first, w, at, run, check
-
-
-def fingerprint(run: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """48 bits of the window's hash above 16 of its check; the hash's own leading bits choose the bucket."""
-    return (run << U(16)) | (check & U(0xFFFF))
-
-
-def distinct(docs: pa.Table, k: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sorted distinct fingerprints of a chunk for each bucket, and for each the first doc_id that has it."""
-    ids = docs.column("doc_id").fill_null(LAST).to_numpy()
-    buckets, keys, owners = [], [], []
-    for first, w, at, run, check in windows(docs.column("text"), k):
-        buckets.append((run >> U(64 - bits)).astype(np.int32))
-        keys.append(fingerprint(run, check))
-        owners.append(ids[first + w.text_of()[at]] if len(at) else np.zeros(0, dtype=np.int64))
-    if not keys:
-        return [np.zeros(0, dtype=U)] * (1 << bits), [np.zeros(0, dtype=np.int64)] * (1 << bits)
-    b, f, o = np.concatenate(buckets), np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((o, f, b))
-    b, f, o = b[order], f[order], o[order]
-    new = np.ones(len(f), dtype=bool)
-    new[1:] = (f[1:] != f[:-1]) | (b[1:] != b[:-1])
-    b, f, o = b[new], f[new], o[new]
-    cuts = np.searchsorted(b, np.arange(1, 1 << bits))
-    return np.split(f, cuts), np.split(o, cuts)
+    keys, checks = (np.concatenate(arrays(table.column(c))) for c in ("keys", "checks"))
+    order = np.lexsort((checks, keys))
+    keys, checks = keys[order], checks[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+    return pa.table({"bucket": table.column("bucket").slice(0, 1).cast(pa.int32()), "keys": pa.array([keys[new].tobytes()], pa.binary()), "checks": pa.array([checks[new].tobytes()], pa.binary())})
+
+
+def second(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Another fingerprint of the windows, with another base and of other word hashes."""
+    up, down = CHECK.upto(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=U)
+    np.cumsum(W.mix(h + U(0x9E3779B97F4A7C15)) * up[: len(h)], out=sums[1:])
+    return W.mix((sums[at + k] - sums[at]) * down[at])
+
+
+class Chunk:
+    """The windows of some texts: ``keys`` sorted and distinct, bucket by bucket (the leading bits of a key choose it), for each the smallest doc_id
+    that has it and the first place (slice, word) where it stands there."""
+
+    def __init__(self, docs: pa.Table, k: int, bits: int, checks: bool = False):
+        self.k, self.ids = k, docs.column("doc_id").fill_null(LAST).to_numpy()
+        self.parts: list[tuple[int, W.Words, np.ndarray, np.ndarray]] = []  # first row, words, first words of windows, keys
+        keys, owners, places, others = [], [], [], []
+        for n, (first, data, offsets) in enumerate(W.slices(docs.column("text"))):
+            w = W.find(data, offsets, W.SPACED, False)
+            h = w.hashes()
+            at, run = w.runs(h, k)
+            self.parts.append((first, w, at, run))
+            keys.append(run)
+            owners.append(self.ids[first + w.text_of()[at]] if len(at) else np.zeros(0, dtype=np.int64))
+            places.append(at.astype(np.int64) + (n << 32))
+            if checks:
+                others.append(second(h, at, k) if len(at) else run)
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+        f, o, p = join(keys, U), join(owners, np.int64), join(places, np.int64)
+        order = np.lexsort((p, o, f))
+        f = f[order]
+        new = np.ones(len(f), dtype=bool)
+        new[1:] = f[1:] != f[:-1]
+        self.keys, self.owners, self.places = f[new], o[order][new], p[order][new]
+        self.checks = join(others, U)[order][new] if checks else None
+        self.cuts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(1, dtype=np.int64)
+        self.cuts = np.append(self.cuts, len(self.keys))
+        self.split: dict[tuple[int, int], list[bytes]] = {}
+
+    def bucket(self, b: int) -> slice:
+        return slice(self.cuts[b], self.cuts[b + 1])
+
+    def words(self, n: int, word: int) -> tuple[list[bytes], int]:
+        """All words of the text that a word of a slice belongs to, and the word's place among them."""
+        w = self.parts[n][1]
+        d = int(np.searchsorted(w.of, word, side="right")) - 1
+        if (n, d) not in self.split:
+            if len(self.split) > 200:
+                self.split.clear()
+            s, e = int(w.of[d]), int(w.of[d + 1])
+            self.split[n, d] = w.data[w.starts[s] : w.ends[e - 1]].tobytes().split()
+        return self.split[n, d], word - int(w.of[d])
+
+    def differing(self, words: list[bytes], start: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Of windows (at ``start`` in a text's words) whose keys are here: which of them have other words here. Stretches are compared at once."""
+        place = self.places[np.searchsorted(self.keys, keys)]
+        wrong = np.zeros(len(start), dtype=bool)
+        edges = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(place) != 1), [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own, at = self.words(int(place[a] >> 32), int(place[a] & 0xFFFFFFFF))
+            i, n = int(start[a]), b - a + self.k - 1
+            if own[at : at + n] != words[i : i + n]:
+                for j in range(b - a):
+                    wrong[a + j] = own[at + j : at + j + self.k] != words[i + j : i + j + self.k]
+        return wrong
+
+
+def stretches(chunk: Chunk, n: int, flagged: np.ndarray, label: np.ndarray):
+    """Maximal stretches of flagged windows of one text and one label in slice n: first window, end, words from its first to its last."""
+    _, w, at, _ = chunk.parts[n]
+    some = np.flatnonzero(flagged)
+    if not len(some):
+        return
+    text = w.text_of()[at[some]]
+    edges = np.flatnonzero(np.concatenate([[True], (np.diff(at[some]) != 1) | (text[1:] != text[:-1]) | (label[some][1:] != label[some][:-1]), [True]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        first, last = int(at[some[a]]), int(at[some[b - 1]]) + chunk.k
+        yield int(some[a]), int(some[b - 1]) + 1, w.data[w.starts[first] : w.ends[last - 1]].tobytes().split()
 
 
 def chunk_bounds(docs: DataFrame, chunks: int) -> list[int]:
@@ -156,7 +207,7 @@ def mark(docs: DataFrame, k: int = 13, index: Index | None = None, keep_text: bo
     own = docs if keep_text else docs.select("doc_id", "text")
     own = own.withColumn("doc_id", F.col("doc_id").cast("long"))
     volume = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, (volume >> 28).bit_length())
+    bits = max(6, (volume >> 24).bit_length())  # some 16 MB of text, 20 MB of fingerprints a bucket
     if volume <= batch:
         return _batch(own, k, index.bits if index else bits, index, keep_text, volume)
     index = index or Index(docs.sparkSession, Scratch(docs.sparkSession, "fingerprints").path("index"), bits)
@@ -174,58 +225,104 @@ def _batch(own: DataFrame, k: int, bits: int, index: Index | None, keep_text: bo
     spark = own.sparkSession
     dealt = chunked(own, chunk_bounds(own, min(CHUNKS, -(-volume // CHUNK))))
     history, persist = index.history() if index else None, index is not None
+    names = [f.name for f in own.schema.fields]
 
+    @W.releasing
     def pieces(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _ = distinct(table.select(["doc_id", "text"]), k, bits)
-        some = [b for b in range(1 << bits) if len(keys[b])]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "keys": pa.array([keys[b].tobytes() for b in some], pa.binary())})
+        c = Chunk(table, k, bits, persist)
+        some = [b for b in range(1 << bits) if c.cuts[b] < c.cuts[b + 1]]
+        return pa.table({
+            "bucket": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "keys": pa.array([c.keys[c.bucket(b)].tobytes() for b in some], pa.binary()),
+            "checks": pa.array([c.checks[c.bucket(b)].tobytes() if persist else None for b in some], pa.binary()),
+        })
 
+    @W.releasing
     def merged(table: pa.Table) -> pa.Table:
-        """Runs in the order of their chunks, history (chunk -1) first: a bitmap for each of the batch's."""
+        """Runs in the order of their chunks, history (chunk -1) first: for each of the batch's a bitmap, and of what it has set, the chunk that was first."""
         chunk = table.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
-        runs = table.column("keys").combine_chunks() if table.column("keys").num_chunks != 1 else table.column("keys").chunk(0)
-        runs = [np.frombuffer(runs[int(i)].as_buffer(), dtype=U) for i in order]
-        keys = np.concatenate(runs)
-        by_key = np.argsort(keys, kind="stable")  # equal keys stay in the order of their runs
-        sorted_keys = keys[by_key]
-        repeat = np.zeros(len(keys), dtype=bool)
-        repeat[by_key[1:]] = sorted_keys[1:] == sorted_keys[:-1]
-        bits_, fresh, at = [], [], 0
-        for r in runs:
-            seen = repeat[at : at + len(r)]
-            bits_.append(np.packbits(seen).tobytes())
-            fresh.append(r[~seen].tobytes())
+        runs = arrays(table.column("keys"))
+        runs = [runs[i] for i in order]
+        keys, of = np.concatenate(runs), np.repeat(chunk[order], [len(r) for r in runs])
+        checks = np.concatenate([arrays(table.column("checks"))[i] for i in order]) if persist else np.zeros(0, dtype=U)
+        by_key = np.lexsort((np.arange(len(keys)), checks, keys)) if persist else np.argsort(keys, kind="stable")  # equal ones stay in the order of their runs
+        same = keys[by_key[1:]] == keys[by_key[:-1]]
+        if persist:
+            same &= checks[by_key[1:]] == checks[by_key[:-1]]
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(keys)), 0))
+        repeat, owner = np.zeros(len(keys), dtype=bool), np.empty(len(keys), dtype=np.int32)
+        repeat[by_key] = np.concatenate([[False], same])
+        owner[by_key] = of[by_key[start]]
+        seen, owners, fresh, fresh_checks, at = [], [], [], [], 0
+        for j, r in enumerate(runs):
+            s = repeat[at : at + len(r)]
+            if chunk[order[j]] >= 0:
+                seen.append(np.packbits(s).tobytes())
+                owners.append(owner[at : at + len(r)][s].tobytes())
+                fresh.append(r[~s].tobytes() if persist else None)
+                fresh_checks.append(checks[at : at + len(r)][~s].tobytes() if persist else None)
             at += len(r)
-        own_ = [j for j, i in enumerate(order) if chunk[i] >= 0]
+        own_ = [int(c) for c in chunk[order] if c >= 0]
         return pa.table({
-            "bucket": pa.array([table.column("bucket")[0].as_py()] * len(own_), pa.int32()), "chunk": pa.array([int(chunk[order[j]]) for j in own_], pa.int32()),
-            "seen": pa.array([bits_[j] for j in own_], pa.binary()), "fresh": pa.array([fresh[j] if persist else None for j in own_], pa.binary()),
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * len(own_), pa.int32()), "chunk": pa.array(own_, pa.int32()), "seen": pa.array(seen, pa.binary()), "owners": pa.array(owners, pa.binary()),
+            "keys": pa.array(fresh, pa.binary()), "checks": pa.array(fresh_checks, pa.binary()),
         })
 
-    names = [f.name for f in own.schema.fields]
-
-    def applied(key: tuple, table: pa.Table, seen: pa.Table) -> pa.Table:
+    def owned(c: Chunk, found: pa.Table) -> np.ndarray:
+        """The chunk that first had each key: -1 the history, -2 no earlier one."""
+        out = np.full(len(c.keys), -2, dtype=np.int64)
+        for b, packed, owners in zip(*(found.column(x).to_pylist() for x in ("bucket", "seen", "owners"))):
+            if packed is not None:
+                own_ = c.bucket(b)
+                out[np.arange(own_.start, own_.stop)[np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=own_.stop - own_.start).astype(bool)]] = np.frombuffer(owners, dtype=np.int32)
+        return out
+
+    @W.releasing
+    def asked(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        """What is to be verified elsewhere: texts of stretches, each once, by the chunk that first had their windows."""
+        c, wanted = Chunk(table, k, bits), {}
+        owner = owned(c, found)
+        for n, (_, _, at, run) in enumerate(c.parts):
+            of = owner[np.searchsorted(c.keys, run)] if len(run) else np.zeros(0, dtype=np.int64)
+            for a, _, words in stretches(c, n, of >= 0, of):
+                wanted[int(of[a]), b" ".join(words)] = None
+        return pa.table({"owner": pa.array([o for o, _ in wanted], pa.int32()), "claimant": pa.array([key[0].as_py()] * len(wanted), pa.int32()), "claim": pa.array([t for _, t in wanted], pa.binary())})
+
+    @W.releasing
+    def compared(key: tuple, table: pa.Table, claims: pa.Table) -> pa.Table:
+        """The keys of claimed windows whose words are not those that this chunk has under the key."""
+        failed: dict[int, list[np.ndarray]] = {}
+        if claims.num_rows:
+            c = Chunk(table, k, bits)
+            texts = pa.table({"doc_id": pa.array(np.arange(claims.num_rows)), "text": claims.column("claim").cast(pa.large_binary()).cast(pa.large_string())})
+            of = claims.column("claimant").to_pylist()
+            q = Chunk(texts, k, bits)
+            for n, (first, w, at, run) in enumerate(q.parts):
+                for a, b, words in stretches(q, n, np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=np.int64)):
+                    wrong = c.differing(words, np.arange(b - a), run[a:b])
+                    if wrong.any():
+                        row = first + int(np.searchsorted(w.of, at[a], side="right")) - 1
+                        failed.setdefault(of[row], []).append(run[a:b][wrong])
+        return pa.table({"chunk": pa.array(list(failed), pa.int32()), "failed": pa.array([np.concatenate(x).tobytes() for x in failed.values()], pa.binary())})
+
+    @W.releasing
+    def applied(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         docs_ = table.select(names)
-        keys, owners = distinct(docs_.select(["doc_id", "text"]), k, bits)
-        known: list[np.ndarray] = [np.zeros(len(x), dtype=bool) for x in keys]
-        for b, packed in zip(seen.column("bucket").to_pylist(), seen.column("seen").to_pylist()):
-            known[b] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=len(keys[b])).astype(bool)
-        size = np.cumsum([0, *map(len, keys)])
-        all_keys, all_owners, all_known = np.concatenate(keys), np.concatenate(owners), np.concatenate(known)
-        ids = docs_.column("doc_id").fill_null(LAST).to_numpy()
+        c = Chunk(docs_, k, bits)
+        owner = owned(c, found)
+        for x in found.column("failed"):
+            if x.is_valid:
+                owner[np.searchsorted(c.keys, np.frombuffer(x.as_buffer(), dtype=U))] = -2
         n_words, n_removed, digests, texts = [], [], [], []
-        for first, w, at, run, check in windows(docs_.column("text"), k):
+        for n, (first, w, at, run) in enumerate(c.parts):
             gone = np.zeros(len(w.starts) + 1, dtype=np.int32)
             if len(at):
-                b, f = (run >> U(64 - bits)).astype(np.int64), fingerprint(run, check)
-                place = np.empty(len(f), dtype=np.int64)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange((1 << bits) + 1))
-                for x in range(1 << bits):
-                    own_ = order[cuts[x] : cuts[x + 1]]
-                    place[own_] = size[x] + np.searchsorted(keys[x], f[own_])
-                repeat = all_known[place] | (all_owners[place] < ids[first + w.text_of()[at]])
+                place = np.searchsorted(c.keys, run)
+                elsewhere = owner[place] >= -1
+                here = ~elsewhere & (c.owners[place] < c.ids[first + w.text_of()[at]])
+                for a, b, words in stretches(c, n, here, np.zeros(len(at), dtype=np.int64)):
+                    here[a:b] = ~c.differing(words, np.arange(b - a), run[a:b])
+                repeat = elsewhere | here
                 np.add.at(gone, at[repeat], 1)
                 np.add.at(gone, at[repeat] + k, -1)
             kept = np.cumsum(gone[:-1]) == 0
@@ -238,28 +335,30 @@ def _batch(own: DataFrame, k: int, bits: int, index: Index | None, keep_text: bo
                 if keep_text:
                     texts.append(None if left == e - s else without(w, s, e, keep))
                 else:
-                    lo = w.starts[s] if e > s else 0
-                    all_words = w.data[lo : w.ends[e - 1]].tobytes().split() if e > s else []
+                    all_words = w.data[w.starts[s] : w.ends[e - 1]].tobytes().split() if e > s else []
                     digests.append(hashlib.sha256(b" ".join(all_words if left == e - s else compress(all_words, keep))).hexdigest())
         if keep_text:
-            cut = pa.array(texts, pa.string())
             old = docs_.column("text").combine_chunks() if docs_.column("text").num_chunks != 1 else docs_.column("text").chunk(0)
-            out = docs_.set_column(names.index("text"), "text", pa.compute.coalesce(cut, old.cast(pa.string())))
+            out = docs_.set_column(names.index("text"), "text", pa.compute.coalesce(pa.array(texts, pa.string()), old.cast(pa.string())))
             return out.append_column("n_removed", pa.array(n_removed, pa.int64()))
         return pa.table({"doc_id": docs_.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    own_pieces = dealt.groupBy("chunk").applyInArrow(pieces, "bucket int, chunk int, keys binary")
+    runs = dealt.groupBy("chunk").applyInArrow(pieces, "bucket int, chunk int, keys binary, checks binary")
     if history is not None:
-        own_pieces = own_pieces.unionByName(history.withColumn("chunk", F.lit(-1)))
-    answers = own_pieces.groupBy("bucket").applyInArrow(merged, "bucket int, chunk int, seen binary, fresh binary")
+        runs = runs.unionByName(history.withColumn("chunk", F.lit(-1)))
+    answer = "bucket int, chunk int, seen binary, owners binary, keys binary, checks binary"
+    answers = runs.groupBy("bucket").applyInArrow(merged, answer)
     if index:
         name = f"{index.path}/answers-{uuid.uuid4().hex[:12]}"
         answers.write.parquet(name)
-        answers = spark.read.schema("bucket int, chunk int, seen binary, fresh binary").parquet(name)
-        index.add(answers.select("bucket", F.col("fresh").alias("keys")).groupBy("bucket").applyInArrow(compacted, "bucket int, keys binary"), own.agg(F.max("doc_id")).first()[0])
+        answers = spark.read.schema(answer).parquet(name)
+        index.add(answers.select("bucket", "keys", "checks").groupBy("bucket").applyInArrow(compacted, RUN), own.agg(F.max("doc_id")).first()[0])
+    found = answers.select("bucket", "chunk", "seen", "owners")
+    claims = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(asked, "owner int, claimant int, claim binary")
+    failed = dealt.groupBy("chunk").cogroup(claims.groupBy("owner")).applyInArrow(compared, "chunk int, failed binary")
+    found = found.withColumn("failed", F.lit(None).cast("binary")).unionByName(failed, allowMissingColumns=True)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + ", n_removed long" if keep_text else "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    seen = answers.select("bucket", "chunk", "seen")
-    return dealt.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(applied, schema)
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(applied, schema)
 
 
 def without(w: W.Words, s: int, e: int, keep: np.ndarray) -> str:

@@ -63,3 +63,31 @@ def test_the_text_without_its_repeats(spark):
     df = spark.createDataFrame([(1, shared, "en"), (2, f"one\ntwo  {shared}\nthree", "de"), (3, None, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.text for r in fingerprints.mark(df, keep_text=True).collect()}
     assert got == {1: shared, 2: "one\ntwo  three", 3: None}
+
+
+def test_a_match_counts_only_if_its_words_agree():
+    import numpy as np
+    import pyarrow as pa
+
+    w = [f"w{i}" for i in range(40)]
+    c = fingerprints.Chunk(pa.table({"doc_id": [7, 3, 9], "text": [" ".join(w[:30]), " ".join(w[5:35]), "x " * 20]}), 13, 2)
+    run = c.parts[0][3]
+    assert c.owners[np.searchsorted(c.keys, run[5])] == 3  # of two texts, the one with the smaller doc_id
+    words = [x.encode() for x in w[5:35]]
+    start, keys = np.arange(18), run[18 : 18 + 18]
+    assert not c.differing(words, start, keys).any()
+    words[20] = b"other"  # as if other words had the same fingerprints
+    assert c.differing(words, start, keys).tolist() == [i + 12 >= 20 for i in range(18)]
+    jumbled = np.array([0, 4, 5, 11])
+    assert c.differing(words, jumbled, keys[jumbled]).tolist() == [False, False, False, True]
+
+
+def test_stretches_go_by_text_and_label():
+    import numpy as np
+    import pyarrow as pa
+
+    c = fingerprints.Chunk(pa.table({"doc_id": [1, 2], "text": ["a b c d e f", "g h i j"]}), 3, 2)
+    at = c.parts[0][2]
+    assert at.tolist() == [0, 1, 2, 3, 6, 7]
+    got = [(a, b, b" ".join(t)) for a, b, t in fingerprints.stretches(c, 0, np.array([1, 1, 0, 1, 1, 1], dtype=bool), np.array([0, 0, 0, 0, 0, 1]))]
+    assert got == [(0, 2, b"a b c d"), (3, 4, b"d e f"), (4, 5, b"g h i"), (5, 6, b"h i j")]
