@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from alluvia.llm import words as W
+
 CACHE = 300_000  # words, and as many runs between white space, kept by each Python worker
 #: Letters, digits and lower-case forms of the Unicode version that the tokenizers library uses, beyond those of Python's own tables.
 LATER = {
@@ -69,6 +71,7 @@ class Kept(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
+        W.HELD.append(self)
 
     def __missing__(self, key: str) -> tuple[str, str]:
         if len(self) >= CACHE:

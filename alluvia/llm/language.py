@@ -24,22 +24,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alluvia.llm import words as W
+
 SIZE, SAMPLE, PAD = 400, 4000, 1
-_LETTER: list[np.ndarray] = []
+_KINDS: list[np.ndarray] = []
 
 
-def letters() -> np.ndarray:
-    """Which code points are letters, and of those beyond them marks, which belong to their letter."""
-    if not _LETTER:
-        _LETTER.append(np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1))
-    return _LETTER[0]
+def kinds() -> np.ndarray:
+    """Of each code point: 2 a letter, 1 a mark (which belongs to its letter), 0 anything else."""
+    if not _KINDS:
+        _KINDS.append(np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), dtype=np.uint8, count=sys.maxunicode + 1))
+    return _KINDS[0]
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes (21 bits a letter) and counts of the n-grams of a text."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    inside = letters()[c] if len(c) else np.zeros(0, dtype=bool)
-    if not inside.any():
+    kind = kinds()[c] if len(c) else np.zeros(0, dtype=np.uint8)
+    inside = kind > 0
+    if not (kind == 2).any():
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     c = np.concatenate([[PAD], np.where(inside, c, PAD), [PAD]]).astype(np.int64)
     c = c[np.concatenate([[True], (c[1:] != PAD) | (c[:-1] != PAD)])]
@@ -67,6 +70,7 @@ def learn(labelled: DataFrame, size: int = SIZE, sample: int = SAMPLE) -> dict[s
     """Profiles by language from columns doc_id, text, lang: codes in ascending order and their ranks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.forget()
         totals: dict[str, dict[int, int]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -111,6 +115,7 @@ def predict(docs: DataFrame, profiles: dict[str, tuple[np.ndarray, np.ndarray]],
     named = docs.select(*kept, F.col("text").alias("__text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.forget()
         known = shared.value
         for batch in batches:
             found = [nearest(x.as_py(), known, size) for x in batch.column(len(kept))]

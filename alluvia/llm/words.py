@@ -125,6 +125,16 @@ def split(text: bytes, lower: bool = False) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
+HELD: list[dict] = []  # what operators keep in a Python worker from task to task
+
+
+def forget() -> None:
+    """Drop what another operator has left in this worker, which outlives its stage."""
+    for kept in HELD:
+        kept.clear()
+    release()
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker outlives its task, and idles beside those of the next stage."""
     pa.default_memory_pool().release_unused()
