@@ -5,7 +5,7 @@ of a node are never gathered; the joins are plain equi-joins, whose hot keys ada
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from alluvia.storage import Scratch
@@ -28,14 +28,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(u, v): each node that has an edge, but for the least of its component, with that least node.
 
     ``edges`` has columns u and v of one orderable type; null ends and loops are left out. Ends when an alternation changes nothing."""
-    marks = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = scratch.save(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), f"{name}-0")
-    before, k = marks(e), 0
+
+    def saved(df: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        """The written edges, with their number and a sum of their hashes, which are observed while they are written."""
+        seen = Observation()
+        out = scratch.save(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), f"{name}-{k}")
+        return out, (seen.get["n"], seen.get["sum"])
+
+    e, before = saved(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), 0)
+    k = 0
     while before[0]:
         k += 1
-        e = scratch.save(small_star(large_star(e)), f"{name}-{k}")
+        e, after = saved(small_star(large_star(e)), k)
         scratch.drop(f"{name}-{k - 1}")
-        after = marks(e)
         if after == before:
             break
         before = after

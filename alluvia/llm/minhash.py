@@ -35,14 +35,14 @@ from alluvia.storage import Scratch
 
 U = np.uint64
 WAVE, SIGMAS = 4, 4.5
-CELL, HELD = 256, 1_000_000  # nodes of a hub that are verified together; shingles that a verifying task keeps
+CELL, HELD = 1024, 600_000  # nodes of a hub that are verified together; shingles that a verifying task keeps
 FEW = 2_000_000  # doc_ids that may be broadcast
 
 
-def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
-    """The set of a text: runs of k words, lower-cased."""
+def shingles(text: bytes, k: int) -> set[bytes]:
+    """The set of a text: runs of k words, lower-cased, joined by a space."""
     w = W.split(text, lower=True)
-    return {tuple(w)} if 0 < len(w) < k else set(zip(*[w[i:] for i in range(k)]))
+    return {b" ".join(w)} if 0 < len(w) < k else set(map(b" ".join, zip(*[w[i:] for i in range(k)])))
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.forget()
         a, b = multipliers(bands * rows)
         salt = W.mix(np.arange(1, bands + 1, dtype=U))
         for batch in batches:
@@ -107,7 +108,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and compressed lower-cased text of the documents whose doc_id is wanted; other nodes may come along where doc_ids repeat."""
+    """Digest of the set and compressed lower-cased text of the documents whose doc_id is wanted; other nodes may come along where doc_ids repeat."""
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -127,7 +128,7 @@ def packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 texts = batch.column(0).slice(a, 256)
-                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), pa.array([z.compress((x.as_py() or "").encode("utf-8").lower()) for x in texts], pa.binary())], names=["node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), pa.array([z.compress((x.as_py() or "").encode("utf-8").lower()) for x in texts], pa.binary())], names=["digest", "packed"])
         W.release()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +137,17 @@ def packed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 texts = pa.array([open_(x.as_py()) for x in part.column(0)], pa.large_binary()).cast(pa.large_string())
-                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), part.column(0)], names=["node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(named(texts), pa.binary()), part.column(0)], names=["digest", "packed"])
         W.release()
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     if wanted.count() <= FEW:  # 16 MB of ids are broadcast; more are joined in an exchange of compressed texts
-        out = own.join(F.broadcast(wanted), own["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(plain, "node binary, packed binary")
+        out = own.join(F.broadcast(wanted), own["doc_id"].eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(plain, "digest binary, packed binary")
     else:
         some = own.mapInArrow(press, "doc_id long, packed binary")
         some = some.join(wanted, some["doc_id"].eqNullSafe(F.col("least")), "left_semi")
-        out = some.select("packed").mapInArrow(name, "node binary, packed binary")
-    return out.filter(F.col("node").isNotNull())
+        out = some.select("packed").mapInArrow(name, "digest binary, packed binary")
+    return out.filter(F.col("digest").isNotNull())
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -165,10 +166,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     def check(own: pa.Table, found: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
         packed_ = dict(zip(found.column("node").to_pylist(), found.column("packed").to_pylist()))
-        known: dict[bytes, set] = {}
+        known: dict[int, set] = {}
         held = 0
 
-        def of(node: bytes) -> set:
+        def of(node: int) -> set:
             nonlocal held
             if node not in known:
                 if held > HELD:
@@ -187,7 +188,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(i)
         return own.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    return met.groupBy("meeting").cogroup(there.groupBy("place")).applyInArrow(check, "u binary, v binary")
+    return met.groupBy("meeting").cogroup(there.groupBy("place")).applyInArrow(check, "u long, v long")
 
 
 def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -196,17 +197,21 @@ def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows
     hashes = bands * rows
     signed = scratch.save(signatures(docs, k, bands, rows), "signed")
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = scratch.save(nodes, "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    # From here a node goes by a number, given when the table is written, so that edges are small.
+    nodes = scratch.save(nodes.withColumnRenamed("node", "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
     members = scratch.save(banded.join(shared, "band").select("band", "node", "n", "first"), "members")
     star = members.filter(F.col("node") != F.col("first.node")).filter(alike(F.col("n"), F.col("first.n"), percent))
     star = star.select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct()
-    hubs = members.groupBy("node").agg(F.min("first.node").alias("hub"))
-    known = nodes.join(hubs, "node").select("node", "n", "least", "sketch", "hub")
+    # A node's hub: the least node to be met by way of its buckets and those of their members, much the same for all of a group.
+    near = members.groupBy("node").agg(F.min("first.node").alias("hub"))
+    least = members.select("band", "node").join(near, "node").groupBy("band").agg(F.min("hub").alias("hub"))
+    hubs = members.select("band", "node").join(least, "band").groupBy("node").agg(F.min("hub").alias("hub"))
+    known = nodes.join(hubs, "node").select("node", "digest", "n", "least", "sketch", "hub")
     known = scratch.save(known, "known")
-    texts = packed(docs, known.select("least"), k).groupBy("node").agg(F.first("packed").alias("packed"))
-    texts = scratch.save(texts.join(known.select("node", "hub"), "node"), "texts")
+    texts = packed(docs, known.select("least"), k).groupBy("digest").agg(F.first("packed").alias("packed"))
+    texts = scratch.save(texts.join(known.select("node", "digest", "hub"), "digest").drop("digest"), "texts")
     star = scratch.save(likely(star, known, hashes, percent), "star")
     links = scratch.save(confirm(star, texts, k, percent), "links-star")
     labels = components(links, scratch, "star")
@@ -221,11 +226,11 @@ def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows
         links = links.unionByName(scratch.save(confirm(some, texts, k, percent), f"links-{wave}"))
         labels = components(links, scratch, f"wave-{wave}")
     scratch.drop("texts", "members", "pairs", "star")
-    own = nodes.select("node", "least").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = nodes.select("node", "digest", "least").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = scratch.save(own, "own")
     least = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
-    own = own.join(least.filter("classes > 1").drop("classes"), "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "node").join(own, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = own.join(least.filter("classes > 1").drop("classes"), "root", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    return signed.select("doc_id", "n_shingles", F.col("node").alias("digest")).join(own, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def alike(n, m, percent: int):
