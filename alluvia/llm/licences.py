@@ -1,6 +1,11 @@
 """Licence scans: a trained paragraph classifier whose predictions are confirmed by comparison with templates.
 
-A paragraph is a line. Its terms are its words (a-z, 0-9, lower-cased) and pairs of neighbouring words, each once. A sparse
+A paragraph is a line, and so is what of a notice runs on from it: a notice wrapped over any number of lines belongs to the line on
+which it begins. Such a run is as many words from a pair of a template as that template has and a quarter more, whatever breaks
+are among them; it is classified by itself, so a line can also hold several families. Notices of one family that share a line
+count once. Of notices of two families that share words, as those of LGPL and GPL do, the one whose template agrees more counts.
+
+The terms of a paragraph are its words (a-z, 0-9, lower-cased) and pairs of neighbouring words, each once. A sparse
 multinomial logistic regression over the terms of the templates gives each family, or ``unknown``, a probability; the
 temperature that calibrates it is fitted on examples held out of the training. A prediction other than unknown counts if its
 probability reaches ``least`` and the word pairs of one of that family's templates stand in the paragraph to ``agreement``.
@@ -16,6 +21,7 @@ scanned alike; an empty table gives no rows; columns other than doc_id and text
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -186,29 +192,91 @@ def constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps({"x": value})), f"struct<x: {kind}>")["x"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def paragraphs(text: Column, model: Model, least: float, agreement: float) -> Column:
-    """array<struct<paragraph, family, probability, agreement>> of the paragraphs that hold a confirmed licence.
+    """array<struct<paragraph, family, probability, agreement>> of the paragraphs that hold a confirmed licence, in their order.
 
     Each step of the chain reads what it needs from one variable, since a lambda's expression is evaluated as often as it stands."""
     anchors, vocabulary = constant(model.anchors, "array<string>"), constant(sorted(model.weights), "array<string>")
     weights, bias = constant(model.weights, "map<string, array<double>>"), constant(model.bias, "array<double>")
     classes = constant(model.classes, "array<string>")
-    templates = constant([[sorted(set(pairs(words(n)))) for n in NOTICES[c]] for c in model.classes[:-1]] + [[]], "array<array<array<string>>>")
-    x = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p, i: F.struct(i.alias("i"), F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")))
-    x = F.filter(x, lambda s: F.arrays_overlap(s["w"], anchors))
+    distinct = [[sorted(set(pairs(words(n)))) for n in NOTICES[c]] for c in model.classes[:-1]]
+    templates = constant([*distinct, []], "array<array<array<string>>>")
+    # for runs of lines: each template by itself, with the number of words in which it is looked for
+    notices = [{"c": c + 1, "q": sorted(set(pairs(words(n)))), "len": len(words(n)) + max(2, len(words(n)) // 4)} for c, f in enumerate(model.classes[:-1]) for n in NOTICES[f]]
+    wide, fewest = max(x["len"] for x in notices), min(math.ceil(agreement * len(x["q"])) for x in notices)
+    each, all_pairs = constant(notices, "array<struct<c: int, q: array<string>, len: int>>"), constant(sorted({p for x in notices for p in x["q"]}), "array<string>")
+    marks = {*model.anchors}
+    gaps = [next((d for d, x in enumerate(w[i:]) if x in marks), 0) for f in NOTICES.values() for w in map(words, f) for i in range(len(w))]
+    near = max(gaps) + 3  # from any word of a template to the next anchor, and two words more
     two = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    x = F.transform(x, lambda s: F.struct(s["i"].alias("i"), F.array_distinct(F.concat(s["w"], two(s["w"]))).alias("t")))
     add = lambda acc, t: F.zip_with(acc, F.element_at(weights, t), lambda a, b: a + b)
-    x = F.transform(x, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"), F.aggregate(F.array_intersect(s["t"], vocabulary), bias, add).alias("z")))
-    x = F.transform(x, lambda s: F.struct(s["i"].alias("i"), s["t"].alias("t"), s["z"].alias("z"), F.array_max(s["z"]).alias("top")))
-    x = F.transform(x, lambda s: F.struct(
-        s["i"].alias("i"), s["t"].alias("t"), F.array_position(s["z"], s["top"]).cast("int").alias("c"),
-        (1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp((z - s["top"]) / model.temperature))).alias("p"),
-    ))
-    x = F.filter(x, lambda s: (s["c"] < len(model.classes)) & (s["p"] >= least))
-    agree = lambda s: F.array_max(F.transform(F.element_at(templates, s["c"]), lambda n: F.size(F.array_intersect(n, s["t"])) / F.size(n)))
-    x = F.transform(x, lambda s: F.struct(s["i"].alias("paragraph"), F.element_at(classes, s["c"]).alias("family"), s["p"].alias("probability"), agree(s).alias("agreement")))
-    return F.filter(x, lambda s: s["agreement"] >= agreement)
+
+    def keep(s: Column, *names: str) -> list[Column]:
+        return [s[n].alias(n) for n in names]
+
+    def classified(x: Column, *names: str) -> Column:
+        """Class and probability by the terms ``t``, where that is a family that is likely enough; ``names`` are handed on."""
+        x = F.transform(x, lambda s: F.struct(*keep(s, *names), F.aggregate(F.array_intersect(s["t"], vocabulary), bias, add).alias("z")))
+        x = F.transform(x, lambda s: F.struct(*keep(s, *names, "z"), F.array_max(s["z"]).alias("top")))
+        x = F.transform(x, lambda s: F.struct(
+            *keep(s, *names), F.array_position(s["z"], s["top"]).cast("int").alias("c"),
+            (1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp((z - s["top"]) / model.temperature))).alias("p"),
+        ))
+        return F.filter(x, lambda s: (s["c"] < len(model.classes)) & (s["p"] >= least))
+
+    def single(lines: Column) -> Column:
+        x = F.filter(lines, lambda s: s["a"])
+        x = F.transform(x, lambda s: F.struct(s["i"].alias("i"), F.size(s["w"]).alias("n"), F.array_distinct(F.concat(s["w"], two(s["w"]))).alias("t")))
+        x = classified(x, "i", "n", "t")
+        agree = lambda s: F.array_max(F.transform(F.element_at(templates, s["c"]), lambda n: F.size(F.array_intersect(n, s["t"])) / F.size(n)))
+        x = F.transform(x, lambda s: F.struct(s["i"].alias("paragraph"), F.element_at(classes, s["c"]).alias("family"), s["p"].alias("probability"), agree(s).alias("agreement"), s["n"].alias("n")))
+        return F.filter(x, lambda s: s["agreement"] >= agreement)
+
+    def runs(lines: Column) -> Column:
+        """Notices that begin on a line, wherever they end: a line and the ``wide`` words after it hold all of them."""
+        after = lambda s: F.slice(lines, s["k"] + 2, wide)
+        x = F.filter(lines, lambda s: s["a"] | F.exists(F.slice(lines, s["k"] + 2, near), lambda y: y["h"]))
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i"), F.size(s["w"]).alias("n"), F.concat(s["w"], F.slice(F.flatten(F.transform(after(s), lambda y: F.slice(y["w"], 1, wide))), 1, wide)).alias("v")))
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "n", "v"), two(s["v"]).alias("p")))
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "n", "v", "p"), F.array_intersect(all_pairs, s["p"]).alias("m")))
+        x = F.filter(x, lambda s: F.size(s["m"]) >= fewest)
+        reached = lambda s: F.filter(each, lambda t: F.size(F.array_intersect(t["q"], s["m"])) >= agreement * F.size(t["q"]))
+        x = F.flatten(F.transform(x, lambda s: F.transform(reached(s), lambda t: F.struct(*keep(s, "k", "i", "n", "v", "p"), t["c"].alias("own"), t["q"].alias("q"), t["len"].alias("len")))))
+        starts = lambda s: F.filter(F.sequence(F.lit(1), s["n"]), lambda at: F.array_contains(s["q"], F.get(s["p"], at - 1)))
+        best = lambda s: F.array_max(F.transform(starts(s), lambda at: F.struct((F.size(F.array_intersect(s["q"], F.slice(s["p"], at, s["len"] - 1))) / F.size(s["q"])).alias("agreement"), (-at).alias("at"))))
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "n", "v", "p", "own", "q", "len"), best(s).alias("best")))
+        x = F.filter(x, lambda s: s["best"]["agreement"] >= agreement)
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "n", "v", "p", "own", "q", "len"), s["best"]["agreement"].alias("agreement"), (-s["best"]["at"]).alias("at")))
+        ends = lambda s: F.array_max(F.filter(F.sequence(s["at"], F.least(s["at"] + s["len"] - 2, F.size(s["p"]))), lambda j: F.array_contains(s["q"], F.get(s["p"], j - 1)))) + 1 - s["n"]
+        x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "n", "at", "own", "agreement"), ends(s).alias("over"), F.array_distinct(F.concat(F.slice(s["v"], s["at"], s["len"]), F.slice(s["p"], s["at"], s["len"] - 1))).alias("t")))
+        x = F.filter(classified(x, "k", "i", "n", "at", "own", "agreement", "over"), lambda s: s["c"] == s["own"])
+        last = lambda s: F.aggregate(
+            after(s), F.struct(s["over"].alias("left"), F.struct(s["i"].alias("line"), (s["over"] + s["n"]).alias("at")).alias("last")),
+            lambda a, y: F.struct((a["left"] - F.size(y["w"])).alias("left"), F.when(a["left"] > 0, F.struct(y["i"].alias("line"), a["left"].alias("at"))).otherwise(a["last"]).alias("last")), lambda a: a["last"],
+        )
+        x = F.transform(x, lambda s: F.struct(s["i"].alias("paragraph"), F.element_at(classes, s["c"]).alias("family"), (-s["agreement"]).alias("less"), s["p"].alias("probability"), F.struct(s["i"].alias("line"), s["at"].alias("at")).alias("first"), last(s).alias("last")))
+        better = lambda s, o: (o["family"] != s["family"]) & (o["less"] < s["less"]) & (o["first"] <= s["last"]) & (s["first"] <= o["last"])
+        x = let(x, lambda r: F.filter(r, lambda s: ~F.exists(r, lambda o: better(s, o))))
+        once = lambda r: F.filter(r, lambda s, j: ~F.exists(F.slice(r, 1, j), lambda o: (o["family"] == s["family"]) & (o["last"]["line"] >= s["paragraph"])))
+        return let(F.array_sort(x), once)
+
+    def both(found: Column, more: Column) -> Column:
+        covers = lambda s, o: (o["paragraph"] < s["paragraph"]) & ((o["last"]["line"] > s["paragraph"]) | ((o["last"]["line"] == s["paragraph"]) & (o["last"]["at"] >= agreement * s["n"])))
+        old = F.filter(found, lambda s: ~F.exists(more, lambda o: (o["family"] != s["family"]) & (-o["less"] > s["agreement"]) & covers(s, o)))
+        new = F.filter(more, lambda s: ~F.exists(found, lambda o: (o["family"] == s["family"]) & o["paragraph"].between(s["paragraph"], s["last"]["line"])))
+        own = ("paragraph", "family", "probability")
+        return F.array_sort(F.concat(F.transform(old, lambda s: F.struct(*keep(s, *own, "agreement"))), F.transform(new, lambda s: F.struct(*keep(s, *own), (-s["less"]).alias("agreement")))))
+
+    x = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p, i: F.struct(i.alias("i"), F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")))
+    x = F.transform(F.filter(x, lambda s: F.size(s["w"]) > 0), lambda s, k: F.struct(k.alias("k"), *keep(s, "i", "w"), F.arrays_overlap(s["w"], anchors).alias("a")))
+    x = F.transform(x, lambda s: F.struct(*keep(s, "k", "i", "w", "a"), (s["a"] & F.arrays_overlap(F.slice(s["w"], 1, near), anchors)).alias("h")))
+    x = let(x, lambda lines: F.when(F.exists(lines, lambda s: s["a"]), lines).otherwise(F.slice(lines, 1, 0)))  # most texts have none
+    return let(x, lambda lines: let(F.struct(single(lines).alias("found"), runs(lines).alias("more")), lambda x: both(x["found"], x["more"])))
 
 
 def scan(docs: DataFrame, least: float = 0.5, agreement: float = 0.75, model: Model | None = None) -> DataFrame:

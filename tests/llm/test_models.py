@@ -196,6 +196,27 @@ def test_licence_scan_matches_plain_python_and_stays_in_the_jvm(spark):
     assert licences.report(df).count() == len(rows) + 1 and licences.report(df.limit(0)).count() == 0
 
 
+def test_wrapped_notices_and_dual_licences(spark):
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License."
+    bsd = "Copyright 2019 the authors\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal"
+    lesser = "// under the terms of the GNU Lesser\n// General Public License as published by the\n//\n// Free Software Foundation"
+    rows = {
+        1: (gpl, [(0, "gpl")]), 2: (bsd, [(2, "bsd")]), 3: (mit, [(0, "mit")]), 4: (lesser, [(0, "lgpl")]),
+        5: ("x\nLicensed under the Apache License, Version 2.0 or released under the MIT License", [(1, "apache-2.0"), (1, "mit")]),
+        6: ("Licensed under the Apache License, Version 2.0, or\nreleased under the MIT License", [(0, "apache-2.0"), (1, "mit")]),
+        7: (f"{gpl}\n{bsd}\nwords\n{mit}\n" + "the end of it\n" * 50, [(0, "gpl"), (5, "bsd"), (9, "mit")]),
+        8: ("\n".join(licences.NOTICES["gpl"][1].split()), [(0, "gpl")]),
+        9: ("Text is available under the Creative\nCommons Attribution-ShareAlike License", [(0, "cc-by-sa")]),
+        10: ("this program is free\nunder the terms of the treaty\nthe gnu is an antelope", []),
+        12: ("This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the Free Software Foundation", [(0, "gpl")]),
+        13: ("Redistributions of source code must retain\nthe above copyright notice, this list of\nconditions and the following disclaimer\nReleased under the MIT License", [(0, "bsd"), (3, "mit")]),
+        11: ("so " * 3000 + gpl, [(0, "gpl")]),
+    }
+    scanned = licences.scan(spark.createDataFrame([(d, t) for d, (t, _) in rows.items()], "doc_id long, text string"))
+    assert {r.doc_id: [(x.paragraph, x.family) for x in r.licences] for r in scanned.collect()} == {d: x for d, (_, x) in rows.items()}
+
+
 def test_licences_in_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     marks = {"mit": "Released under the MIT License", "gpl": "GNU General Public License, version 3", "apache-2.0": "Apache License, Version 2.0", "cc-by-nc": "CC BY-NC 4.0"}
