@@ -6,11 +6,11 @@
    the bucket); then the pairs of nodes in one bucket but still in different components are compared by 4-bit sketches of their
    signatures inside the join itself, so that only likely pairs (see 3) are ever emitted. No pair of a bucket is left out unless its
    ends are already connected. More than WAVE likely pairs a node are verified in waves, which skip what earlier ones connected.
-3. A candidate is rejected by size, or by its signature if that lies more than 4.5 standard deviations below what the threshold
-   gives (3e-6 for a pair just at the threshold), and is confirmed on the full sets of the texts' own shingles.
+3. A candidate is rejected by size, or by its sketch if that differs in more places than a pair just at the threshold does but with the
+   probability by which the bands miss it (1e-7, the exact binomial tail beyond 68 of 200), and is confirmed on the full sets of the texts' own shingles.
 4. Components come from alternating large-star and small-star.
 
-A pair at the threshold 0.8 is missed by all of 40 bands of 5 with probability 1.3e-7, and less as it is more alike.
+A pair at the threshold 0.8 is missed by all of 40 bands of 5 with probability 1.3e-7, and less as it is more alike; so it is lost with 2.3e-7 in all.
 More than some 10**9 distinct texts want more rows a band (fewer chance candidates) and more bands.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a text with fewer words
@@ -21,6 +21,7 @@ is never the least of a component unless all are null; an empty table gives no r
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from alluvia.llm.components import components
 from alluvia.storage import Scratch
 
 U = np.uint64
-WAVE, SIGMAS = 4, 4.5
+WAVE = 4
 CELL, HELD = 1024, 600_000  # nodes of a hub that are verified together; shingles that a verifying task keeps
 FEW = 2_000_000  # doc_ids that may be broadcast
 
@@ -194,7 +195,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the component) of every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    hashes = bands * rows
+    hashes, most = bands * rows, most_differing(bands, rows, percent)
     signed = scratch.save(signatures(docs, k, bands, rows), "signed")
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # From here a node goes by a number, given when the table is written, so that edges are small.
@@ -212,10 +213,10 @@ def groups(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = 40, rows
     known = scratch.save(known, "known")
     texts = packed(docs, known.select("least"), k).groupBy("digest").agg(F.first("packed").alias("packed"))
     texts = scratch.save(texts.join(known.select("node", "digest", "hub"), "digest").drop("digest"), "texts")
-    star = scratch.save(likely(star, known, hashes, percent), "star")
+    star = scratch.save(likely(star, known, hashes, most), "star")
     links = scratch.save(confirm(star, texts, k, percent), "links-star")
     labels = components(links, scratch, "star")
-    pairs = scratch.save(across(members, known, labels, hashes, percent).join(star, ["u", "v"], "left_anti"), "pairs")
+    pairs = scratch.save(across(members, known, labels, hashes, most, percent).join(star, ["u", "v"], "left_anti"), "pairs")
     waves = -(-pairs.count() // max(200_000, WAVE * nodes.count()))
     for wave in range(waves):
         some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(waves)) == wave)
@@ -249,19 +250,24 @@ def differing(a: str, b: str, longs: int):
     return total
 
 
-def most_differing(hashes: int, percent: int) -> float:
-    """Sketches that differ in more places belong to sets less than ``percent`` alike, but for SIGMAS standard deviations."""
-    p = (1 - percent / 100) * 15 / 16
-    return hashes * p + SIGMAS * (hashes * p * (1 - p)) ** 0.5
+def most_differing(bands: int, rows: int, percent: int) -> int:
+    """The least number of places such that a pair just ``percent`` alike differs in more with no greater probability than it shares no band."""
+    n, p = bands * rows, (1 - percent / 100) * 15 / 16
+    missed, beyond = (1 - (percent / 100) ** rows) ** bands, 0.0
+    for places in range(n, 0, -1):
+        beyond += math.comb(n, places) * p**places * (1 - p) ** (n - places)
+        if beyond > missed:
+            return places
+    return 0
 
 
-def likely(pairs: DataFrame, known: DataFrame, hashes: int, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, known: DataFrame, hashes: int, most: int) -> DataFrame:
     a, b = known.select(F.col("node").alias("u"), F.col("sketch").alias("su")), known.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
-    near = differing("su", "sv", -(-hashes // 16)) <= most_differing(hashes, percent)
+    near = differing("su", "sv", -(-hashes // 16)) <= most
     return pairs.join(a, "u").join(b, "v").filter(near).select("u", "v")
 
 
-def across(members: DataFrame, known: DataFrame, labels: DataFrame, hashes: int, percent: int) -> DataFrame:
+def across(members: DataFrame, known: DataFrame, labels: DataFrame, hashes: int, most: int, percent: int) -> DataFrame:
     """Likely pairs (u > v) of nodes that share a bucket but no component."""
     of = labels.select(F.col("u").alias("node"), F.col("v").alias("root"))
     named = members.select("band", "node", "n").join(of, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -269,6 +275,6 @@ def across(members: DataFrame, known: DataFrame, labels: DataFrame, hashes: int,
     left = named.join(several, "band", "left_semi").join(known.select("node", "sketch"), "node")
     a = left.select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("sketch").alias("su"))
     b = left.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("sketch").alias("sv"))
-    near = differing("su", "sv", -(-hashes // 16)) <= most_differing(hashes, percent)
+    near = differing("su", "sv", -(-hashes // 16)) <= most
     both = a.join(b, (a["band"] == b["band"]) & (F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & alike(F.col("nu"), F.col("nv"), percent) & near)
     return both.select("u", "v").distinct()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -43,6 +44,13 @@ def test_waves_and_the_exchange_of_texts_change_nothing(spark, monkeypatch):
     assert got == brute.near_duplicates(rows)
 
 
+def test_sketches_lose_no_more_than_bands():
+    p, missed = 0.2 * 15 / 16, (1 - 0.8**5) ** 40
+    beyond = lambda cut: sum(math.comb(200, x) * p**x * (1 - p) ** (200 - x) for x in range(cut + 1, 201))
+    most = minhash.most_differing(40, 5, 80)
+    assert beyond(most) <= missed < beyond(most - 1)
+
+
 def test_many_copies_of_one_text_are_one_class(spark):
     rows = [(i, "a b c d e f g") for i in range(3000)] + [(5000, "a b c d e f g h")]
     out = minhash.groups(spark.createDataFrame(rows, DOCS))
