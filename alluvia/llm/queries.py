@@ -18,7 +18,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(warc.classify(spark.read.parquet(f"{sf_dir}/pages.parquet")), scratch.path("archives"))
     warc.write_store(warc.read_archives(spark, scratch.path("archives")), scratch.path("store"))
     scratch.drop("archives")
-    return warc.verified(spark, scratch.path("store"))
+    return warc.rebuilt(spark, scratch.path("store"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,11 +109,22 @@ def store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return headers, spark.read.schema("payload_digest string, payload binary").parquet(f"{path}/payloads")
 
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+def reconstruct(spark: SparkSession, path: str, how: str = "inner") -> DataFrame:
     """Each record as it stood in its archive (``record``: header, block and end) and its full payload, also for revisits."""
     headers, payloads = store(spark, path)
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return headers.join(payloads, "payload_digest").withColumn("record", F.concat("header", block, F.lit(b"\r\n\r\n")))
+    return headers.join(payloads, "payload_digest", how).withColumn("record", F.concat("header", block, F.lit(b"\r\n\r\n")))
+
+
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """What each record says once it is rebuilt: digest and size computed from its full payload, its bytes held against header and block."""
+    size = F.octet_length("payload").cast("long")
+    start = F.octet_length("header") + 1
+    block = F.when(F.col("record_type") == "response", size).otherwise(F.lit(0).cast("long")).cast("int")
+    stands = F.when(F.col("record_type") == "response", F.sha2(F.substring("record", start, block), 256) == F.col("payload_digest")).otherwise(F.lit(True))
+    whole = (F.sha2("payload", 256) == F.col("payload_digest")) & (F.octet_length("record") == start + block + 3) & stands
+    digest = F.when(whole, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("wrong record under "), F.col("payload_digest"))).cast("string"))
+    return reconstruct(spark, path, "left").select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:

@@ -41,6 +41,13 @@ def test_records_round_trip_through_archives_and_store(spark, tmp_path):
     assert rows[8, 100] == (of("x" * 100), "revisit", 7)
 
 
+def test_the_query_rebuilds_the_records(spark, monkeypatch):
+    plain, made = warc.reconstruct, []
+    monkeypatch.setattr(warc, "reconstruct", lambda *a: made.append(a) or plain(*a))
+    rows = queries.op1_warc(spark, SF).collect()
+    assert made and rows and all(r.payload_bytes is not None for r in rows)
+
+
 def test_an_altered_archive_is_noticed(spark, tmp_path):
     warc.write_archives(warc.classify(spark.createDataFrame(PAGES[:1], SCHEMA)), f"{tmp_path}/a")
     p = next(p.removeprefix("file:") for p, _, _ in Fs(spark).list(f"{tmp_path}/a") if p.endswith(".gz"))
