@@ -10,7 +10,8 @@ The windows go to the executors in blocks of at most ``block`` distinct windows
 bounded whatever the benchmark's); each further block is a further pass over the documents, written between passes.
 
 Defined results: a null text or item has no words; an item without words has no window and is never found; items that repeat,
-or share an item_id, count once by item_id, a null item_id not at all; rows that repeat a doc_id each get a result; empty tables
+or share an item_id, count once by item_id; the words of an item whose item_id is null are hit in ``find``, which lists no id for
+them, while ``report``, like its SQL, leaves such items out; rows that repeat a doc_id each get a result; empty tables
 give no rows or no hits; ``find`` keeps every column of the documents and adds its own under the names that it is given.
 """
 
@@ -46,7 +47,7 @@ def item_windows(items: DataFrame, k: int) -> DataFrame:
                     texts += [(b" ".join(own[j : j + n]), ids[first + d]) for j in range(len(own) - n + 1 if n else 0)]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts], pa.binary()), pa.array([i for _, i in texts], pa.int64())], names=["words", "item_id"])
 
-    own = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     return own.mapInArrow(make, "words binary, item_id long")
 
 
@@ -186,7 +187,8 @@ def searcher(shared, names: list[str], words: str, hits: str, found: str):
 
 def report(docs: DataFrame, items: DataFrame, k: int = 8, least: int = 2, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    hit = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, k, block)
+    named_items = items.filter(F.col("item_id").isNotNull())
+    hit = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), named_items, k, block)
     found = F.coalesce("found_items", F.array().cast("array<long>"))
     named = F.array_join(F.array_sort(found.cast("array<string>")), ",")
     return hit.select("doc_id", "n_words", bits_set(F.col("hit_bits")).alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), (F.size(found) >= least).alias("contaminated"))

@@ -49,9 +49,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an eight-word window of a benchmark item occurs."""
+    """Drops documents in which an eight-word window of a benchmark item occurs, whether or not the item has an id."""
     hit = decontaminate.find(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hit.filter(F.size(F.coalesce("found_items", F.array().cast("array<long>"))) == 0).select(*COLUMNS)
+    return hit.filter(F.col("hit_bits").isNull()).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,10 @@ def test_stages_take_empty_tables_and_repeats(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
         assert docs.count() == (2 if rows else 0)
+
+
+def test_passages_of_items_without_an_id_go(spark, tmp_path):
+    item = "one two three four five six seven eight nine"
+    spark.createDataFrame([(None, item), (1, "quite other words than those that stand in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"before {item} after", "en", "s", 1), (2, "nothing of the kind", "en", "s", 1)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path)).collect()] == [2]
