@@ -148,7 +148,7 @@ def incremental(source, target: str, merge_on: Names = None, partition_by: Names
 
     source: a folder, a table's path, anything with ``poll(since)``, or a list of these. merge_on: keys of an upsert; without it rows are
     appended. scd_type 2 keeps versions with valid_from, valid_to and is_current, 4 moves replaced rows to ``history_target``.
-    compute_context: the session to run in (a Spark Connect one, for instance). staging has no use here and is accepted for callers that
+    compute_context: the session to run in (not a Spark Connect one: storage needs the JVM gateway). staging has no use here and is accepted for callers that
     give it. order_by: which of a batch's equal keys is the last (SCD-4). now: the clock."""
 
     def decorate(fn: Callable[..., DataFrame]) -> IncrementalPipeline:
