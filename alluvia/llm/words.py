@@ -1,11 +1,13 @@
 """Words of Arrow text columns and 64-bit fingerprints of word runs, computed over whole batches in numpy.
 
 Word bounds are bytes of UTF-8, which is exact because every separator is ASCII. The fingerprint of bytes [s, e) is
-sum(byte[i] * P**(i - s)) mod 2**64 from one prefix sum (P is odd, so powers have inverses), then mixed."""
+sum(byte[i] * P**(i - s)) mod 2**64 from one prefix sum (P is odd, so powers have inverses), then mixed. Modulo a power of two there
+are long strings that agree whatever P is (those of Thue and Morse), so words beyond LONG bytes have a cryptographic hash instead."""
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ SPACED = np.ones(256, dtype=bool)  # words are runs of all but white space
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)  # words are runs of digits, lower-case letters and bytes beyond ASCII
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LONG = 32  # bytes of a word up to which the polynomial is its fingerprint
 SLICE = 512 << 10  # bytes of text worked on at once, or one text
 
 
@@ -61,19 +64,32 @@ class Words:
         up, down = BYTES.upto(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=U)
         np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U) * U(0x2545F4914F6CDD1D))
+        out = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U) * U(0x2545F4914F6CDD1D))
+        for i in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def text_of(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.of) - 1), np.diff(self.of))
 
+    def starts_of_runs(self, k: int) -> np.ndarray:
+        """First words of all runs of k words within one text."""
+        return np.flatnonzero(np.arange(len(self.starts)) + k <= self.of[1:][self.text_of()])
+
     def runs(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all runs of k words within one text, and the runs' fingerprints."""
-        n = len(hashes)
-        if n < k:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-        at = np.flatnonzero(np.arange(n) + k <= self.of[1:][self.text_of()])
-        return at, combine(hashes, at, k)
+        at = self.starts_of_runs(k)
+        return (at, combine(hashes, at, k)) if len(at) else (at, np.zeros(0, dtype=U))
+
+    def joined(self, d: int) -> bytes:
+        """The words of text d, joined by a space."""
+        s, e = int(self.of[d]), int(self.of[d + 1])
+        return b" ".join(self.data[self.starts[s] : self.ends[e - 1]].tobytes().split()) if e > s else b""
+
+    def text(self, i: int, k: int) -> bytes:
+        """The k words from the i-th on, joined by a space."""
+        return b" ".join(self.data[self.starts[i] : self.ends[i + k - 1]].tobytes().split())
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()

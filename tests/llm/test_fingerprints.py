@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -50,6 +51,44 @@ def test_later_batches_meet_the_history_and_runs_are_compacted(spark, tmp_path):
     assert m["last"] == rows[-1][0]
 
 
+@pytest.mark.parametrize("way", ["default", "9000", "calls", "chunks"])
+def test_words_decide_where_fingerprints_collide(spark, tmp_path, way):
+    """With fingerprints of seven bits windows collide everywhere; what is removed is the same for batches of any size and over several calls."""
+    rows = texts(n=40, seed=5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if way == "calls":
+        index, got = fingerprints.Index(spark, f"file://{tmp_path}/index", bits=2), {}
+        for a in range(0, len(rows), 22):
+            got |= found(fingerprints.mark(spark.createDataFrame(rows[a : a + 22], "doc_id long, text string"), index=index, width=7))
+    elif way == "chunks":
+        got = found(fingerprints.mark(df, chunk=700, width=7))
+    else:
+        got = found(fingerprints.mark(df, batch=None if way == "default" else int(way), width=7))
+    assert got == repeats(rows)
+
+
+@pytest.mark.parametrize("chunk", [300, 100_000])
+def test_rows_of_one_doc_id_are_split_and_do_not_repeat_each_other(spark, chunk):
+    g = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    part = lambda: " ".join(base[(a := g.randrange(250)) : a + 40])
+    rows = [(i, part()) for i in range(12)] + [(20, part()) for _ in range(60)] + [(30 + i, part()) for i in range(12)] + [(None, part()) for _ in range(60)]
+    g.shuffle(rows)
+    got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_removed, r.kept_sha256) for r in fingerprints.mark(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=chunk).collect())
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            k = " ".join(w[i : i + 13])
+            first[k] = min(first.get(k, 99), 99 if d is None else d)
+    want = []
+    for d, t in rows:
+        d, w = 99 if d is None else d, t.split()
+        gone = {j for i in range(len(w) - 12) if first[" ".join(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want.append((d, len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_empty_repeated_rows_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert fingerprints.mark(spark.createDataFrame([], schema)).count() == 0
