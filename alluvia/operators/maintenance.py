@@ -62,7 +62,12 @@ def compact(table: VersionedTable, file_bytes: int = FILE_BYTES) -> int | None:
         return None
     n = max(1, math.ceil(sum(b for _, b in small) / file_bytes))
     df = table.read_files([p for p, _ in small])
-    df = df.repartition(max(n, len([g for g in groups.values() if len(g) > 1])), *state.partition_by) if state.partition_by else df.coalesce(n)
+    if not state.partition_by:
+        df = df.coalesce(n)
+    elif any(sum(b for _, b in g) > file_bytes for g in groups.values()):  # a value may fill several files: adaptive execution splits what is large
+        df = df.hint("rebalance", *state.partition_by)
+    else:
+        df = df.repartition(len([g for g in groups.values() if len(g) > 1]), *state.partition_by)
     return table.replace_files("compact", df, [p for p, _ in small])
 
 

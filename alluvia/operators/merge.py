@@ -18,6 +18,9 @@ SMALL = 100_000  # keys; fewer are broadcast
 LITERAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.BooleanType, T.DateType)
 
 
+MOST_VALUES = 10_000  # partition values that narrow a merge; with more, only the keys do
+
+
 def listed(x: str | Sequence[str] | None) -> list[str]:
     return [x] if isinstance(x, str) else list(x or [])
 
@@ -37,13 +40,13 @@ def sql_literal(value, kind: T.DataType) -> str:
 
 
 def partition_values(batch: DataFrame, columns: Sequence[str]) -> dict[str, list] | None:
-    """The distinct values of each partition column, or None where one is null or of a type without a sure literal."""
+    """The distinct values of each partition column, or None where one is null or of a type without a sure literal, or they are more than MOST_VALUES."""
     if not columns or not all(isinstance(batch.schema[c].dataType, LITERAL_TYPES) for c in columns):
         return None
     out = {}
     for c in columns:
-        out[c] = sorted((r[0] for r in batch.select(c).distinct().toLocalIterator()), key=lambda v: (v is not None, v))
-        if None in out[c]:
+        out[c] = sorted((r[0] for r in batch.select(c).distinct().limit(MOST_VALUES + 1).collect()), key=lambda v: (v is not None, v))
+        if None in out[c] or len(out[c]) > MOST_VALUES:
             return None
     return out
 
@@ -69,7 +72,7 @@ def upsert(target: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def keep_last(batch: DataFrame, keys: Sequence[str], order_by: str | Column | None = None) -> DataFrame:
-    """One row for each key (null is a key like others): the last by ``order_by``, or else by the order of reading."""
+    """One row for each key (null is a key like others): the last by ``order_by``, or else any one (that read last, while the batch is not shuffled)."""
     order = F.col(order_by) if isinstance(order_by, str) else order_by
     numbered = batch.withColumn("__row", F.monotonically_increasing_id())
     w = Window.partitionBy(*keys).orderBy(*([order.desc_nulls_last()] if order is not None else []), F.desc("__row"))

@@ -6,6 +6,7 @@ A cursor is any JSON value. It is the pipeline's ledger of what has been ingeste
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any, Protocol, runtime_checkable
@@ -20,7 +21,7 @@ from alluvia.storage import Fs
 SUFFIXES = {"parquet": (".parquet",), "csv": (".csv",), "ndjson": (".ndjson",)}
 OPTION_NAMES = {"separator": "sep", "null_values": "nullValue", "quote_char": "quote", "has_header": "header", "skip_rows": "skipRows", "infer_schema": "inferSchema", "try_parse_dates": None, "ignore_errors": None}
 Options = dict[str, Any] | None
-CHECKED_ONE_BY_ONE = 64  # files whose schemas are compared singly
+LOOKING = 16  # files whose schemas are read at a time
 
 
 @dataclass(frozen=True)
@@ -124,24 +125,23 @@ def _json_order(spark: SparkSession, path: str, columns: list[str]) -> list[str]
 def scan_files(spark: SparkSession, paths: Sequence[str], fmt: str, reader_kwargs: Options = None, concat_options: Options = None, now: datetime | None = None) -> DataFrame:
     """One lazy frame of all files, with ``_source_file`` and ``_ingested_at``.
 
-    Schemas must be equal, unless ``concat_options`` has ``how`` as ``diagonal`` (missing columns are null) or one that ends in
-    ``relaxed`` (types are widened). Up to CHECKED_ONE_BY_ONE files are compared singly, more by one merged schema."""
+    Schemas must be equal, however many files there are, unless ``concat_options`` has ``how`` as ``diagonal`` (missing columns are null) or one
+    that ends in ``relaxed`` (types are widened). Each file's schema is looked at, LOOKING at a time; files of one schema are read as one."""
     kwargs, how = reader_kwargs or {}, (concat_options or {}).get("how", "vertical")
     if not paths:
         raise ValueError("no files to read")
-    if len(paths) > 1 and (how != "vertical" or len(paths) <= CHECKED_ONE_BY_ONE):
-        frames = [_read(spark, [p], fmt, kwargs) for p in paths]
-        if how == "vertical":
-            shape = lambda f: [(x.name, x.dataType) for x in f.schema.fields]
-            for p, f in zip(paths, frames):
-                if shape(f) != shape(frames[0]):
-                    raise ValueError(f"{p} and {paths[0]} have different schemas: {f.schema.simpleString()}, {frames[0].schema.simpleString()}")
-            df = _read(spark, paths, fmt, kwargs | {"schema": frames[0].schema}) if fmt != "parquet" else _read(spark, paths, fmt, kwargs)
-        else:
-            return union_by_name(*[_tagged(f, now) for f in frames])
-    else:
-        df = _read(spark, paths, fmt, kwargs | ({"mergeSchema": True} if fmt == "parquet" and len(paths) > 1 else {}))
-    return _tagged(df, now)
+    if len(paths) == 1:
+        return _tagged(_read(spark, paths, fmt, kwargs), now)
+    with ThreadPoolExecutor(LOOKING) as pool:
+        found = list(pool.map(lambda p: _read(spark, [p], fmt, kwargs).schema, paths))
+    alike: dict[tuple, list[int]] = {}
+    for i, schema in enumerate(found):
+        alike.setdefault(tuple((x.name, x.dataType.json()) for x in schema.fields), []).append(i)
+    if how == "vertical" and len(alike) > 1:
+        other = list(alike.values())[1][0]
+        raise ValueError(f"{paths[other]} and {paths[0]} have different schemas: {found[other].simpleString()}, {found[0].simpleString()}")
+    frames = [_read(spark, [paths[i] for i in some], fmt, kwargs if fmt == "parquet" else kwargs | {"schema": found[some[0]]}) for some in alike.values()]
+    return _tagged(frames[0], now) if len(frames) == 1 else union_by_name(*[_tagged(f, now) for f in frames])
 
 
 def _tagged(df: DataFrame, now: datetime | None) -> DataFrame:

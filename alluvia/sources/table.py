@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from urllib.parse import unquote
@@ -104,6 +104,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.fs = spark, path.rstrip("/"), Fs(spark)
         self._known: tuple[int, State] | None = None
+        self.stream: list | None = None  # [name, batch] of a stream, which its commits carry
 
     # state
 
@@ -140,6 +141,13 @@ class VersionedTable:
         self._known = (version, s)
         return s
 
+    def last_batch(self, stream: str) -> int:
+        """The number of the last batch of a stream that is in the table, -1 if there is none."""
+        for v in range(self.version() if self.exists() else -1, -1, -1):
+            if (mark := self.commit_at(v).get("stream")) and mark[0] == stream:
+                return mark[1]
+        return -1
+
     def history(self) -> list[dict]:
         """Version, time, operation and numbers of files of each commit, oldest first."""
         found = [self.commit_at(v) for v in range(self.version() + 1)]
@@ -210,8 +218,8 @@ class VersionedTable:
             out.append({"path": f"{folder}/{below}", "bytes": size, "part": {k.removeprefix(PART): v for k, v in values.items()}, "change": change or None})
         return out
 
-    def _commit(self, version: int, operation: str, add: list[dict], remove: list[str], schema: T.StructType | None = None, partition_by: list[str] | None = None, rebase: bool = False) -> int:
-        entry = {"timestamp": int(time.time() * 1000), "operation": operation, "add": add, "remove": remove}
+    def _commit(self, version: int, operation: str, add: list[dict], remove: list[str], schema: T.StructType | None = None, partition_by: list[str] | None = None, rebase: Callable[[T.StructType], T.StructType] | None = None) -> int:
+        entry = {"timestamp": int(time.time() * 1000), "operation": operation, "add": add, "remove": remove} | ({"stream": self.stream} if self.stream else {})
         if schema is not None:
             entry["schema"] = schema.jsonValue()
         if partition_by is not None:
@@ -219,7 +227,11 @@ class VersionedTable:
         while not self.fs.create(f"{self.path}/{LOG}/{version:020d}.json", json.dumps({"version": version} | entry)):
             if not rebase:
                 raise ConcurrentWriteError(f"version {version} of {self.path} was written by another commit")
-            version += 1
+            s = self.state()  # with what the other commit has made of the schema
+            version, schema = s.version + 1, rebase(s.schema)
+            entry.pop("schema", None)
+            if schema != s.schema:
+                entry["schema"] = schema.jsonValue()
         if version and version % CHECKPOINT_EVERY == 0:
             s = self.state(version)
             self.fs.create(f"{self.path}/{LOG}/{version:020d}.checkpoint.json", json.dumps({"version": version, "schema": s.schema.jsonValue(), "partition_by": s.partition_by, "files": s.files}))
@@ -235,7 +247,7 @@ class VersionedTable:
         s = self.state()
         schema = merged_schema(s.schema, df.schema)
         add = self._write(conformed(df, schema).withColumn(CHANGE, F.lit("insert")), s.partition_by)
-        return self._commit(s.version + 1, "append", add, [], schema if schema != s.schema else None, rebase=True)
+        return self._commit(s.version + 1, "append", add, [], schema if schema != s.schema else None, rebase=lambda now: merged_schema(now, df.schema))
 
     def rewrite(self, operation: str, touched: Sequence[str], rows: DataFrame | None, new: DataFrame | None = None, kind: str = "update_postimage") -> int:
         """One commit that removes the touched files, adds ``rows`` (what they keep) and ``new`` (rows of which a change feed tells)."""

@@ -71,10 +71,12 @@ class Fs:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a local one only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(spark, "_alluvia_local"):
         spark._alluvia_local = "file://" + tempfile.mkdtemp(prefix="alluvia-")
         atexit.register(_remove_local, spark._alluvia_local)

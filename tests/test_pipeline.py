@@ -75,6 +75,16 @@ def test_files_must_agree_unless_told_otherwise(spark, tmp_path):
     assert list_files(spark, f"{tmp_path}/none", (".parquet",)) == []
 
 
+def test_many_files_must_agree_as_well(spark, tmp_path):
+    for i in range(70):
+        put(spark, tmp_path / f"in/{i:02d}", [(i, 1.0)] if i != 66 else [(i, 1.0, "x")], "id long, value double" + (", more string" if i == 66 else ""))
+    files = list_files(spark, f"{tmp_path}/in", (".parquet",))
+    with pytest.raises(ValueError, match="different schemas"):
+        scan_files(spark, files, "parquet")
+    got = scan_files(spark, files, "parquet", concat_options={"how": "diagonal"})
+    assert got.count() == 70 and got.filter("more = 'x'").count() == 1 and set(got.columns) == {"id", "value", "more", "_source_file", "_ingested_at"}
+
+
 def test_query_and_frame_sources(spark, tmp_path):
     data = [(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03")]
 

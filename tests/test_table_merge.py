@@ -195,3 +195,32 @@ def test_zorder_clusters_both_columns(spark, table):
     zorder(table, ["a", "b"], file_bytes=500)
     spans = table.scan().groupBy(F.input_file_name()).agg((F.max("a") - F.min("a")).alias("a"), (F.max("b") - F.min("b")).alias("b"))
     assert len(table.files()) > 3 and spans.agg(F.avg("a") + F.avg("b")).first()[0] < 126
+
+
+def test_appends_that_each_add_a_column_keep_both(spark, tmp_path):
+    path = f"file://{tmp_path}/both"
+    VersionedTable(spark, path).create(spark.range(1).selectExpr("id"))
+    a, b = VersionedTable(spark, path), VersionedTable(spark, path)
+    a.state(), b.state()
+    stale, b.state = b.state, lambda *x: stale_once(*x)
+    old = stale()
+
+    def stale_once(*x):
+        b.state = stale
+        return old
+
+    a.append(spark.range(1, 2).selectExpr("id", "'a' AS left"))
+    b.append(spark.range(2, 3).selectExpr("id", "'b' AS right"))
+    got = VersionedTable(spark, path).scan()
+    assert sorted(got.columns) == ["id", "left", "right"]
+    assert sorted((r.id, r.left, r.right) for r in got.collect()) == [(0, None, None), (1, "a", None), (2, None, "b")]
+
+
+def test_a_stream_finds_its_last_batch_in_the_log(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/stream")
+    assert t.last_batch("s") == -1
+    t.create(spark.range(1).selectExpr("id"))
+    t.stream = ["s", 4]
+    t.append(spark.range(1).selectExpr("id"))
+    VersionedTable(spark, t.path).append(spark.range(1).selectExpr("id"))
+    assert t.last_batch("s") == 4 and t.last_batch("other") == -1
