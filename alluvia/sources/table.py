@@ -218,7 +218,7 @@ class VersionedTable:
             out.append({"path": f"{folder}/{below}", "bytes": size, "part": {k.removeprefix(PART): v for k, v in values.items()}, "change": change or None})
         return out
 
-    def _commit(self, version: int, operation: str, add: list[dict], remove: list[str], schema: T.StructType | None = None, partition_by: list[str] | None = None, rebase: Callable[[T.StructType], T.StructType] | None = None) -> int:
+    def _commit(self, version: int, operation: str, add: list[dict], remove: list[str], schema: T.StructType | None = None, partition_by: list[str] | None = None, rebase: bool | Callable[[T.StructType], T.StructType] = False) -> int:
         entry = {"timestamp": int(time.time() * 1000), "operation": operation, "add": add, "remove": remove} | ({"stream": self.stream} if self.stream else {})
         if schema is not None:
             entry["schema"] = schema.jsonValue()
@@ -228,10 +228,11 @@ class VersionedTable:
             if not rebase:
                 raise ConcurrentWriteError(f"version {version} of {self.path} was written by another commit")
             s = self.state()  # with what the other commit has made of the schema
-            version, schema = s.version + 1, rebase(s.schema)
-            entry.pop("schema", None)
-            if schema != s.schema:
-                entry["schema"] = schema.jsonValue()
+            version = s.version + 1
+            if callable(rebase):
+                entry.pop("schema", None)
+                if (schema := rebase(s.schema)) != s.schema:
+                    entry["schema"] = schema.jsonValue()
         if version and version % CHECKPOINT_EVERY == 0:
             s = self.state(version)
             self.fs.create(f"{self.path}/{LOG}/{version:020d}.checkpoint.json", json.dumps({"version": version, "schema": s.schema.jsonValue(), "partition_by": s.partition_by, "files": s.files}))
