@@ -39,6 +39,7 @@ CHUNKS = 8192  # most chunks in a batch, but for those into which rows of one do
 FAN = 4
 LAST = (1 << 63) - 1
 BATCHES = 2  # of a call without an index of its own
+WORDS = 100_000  # words of texts that a chunk keeps split
 SPELT = 1_000_000  # fingerprints that are spelt out in one pass
 RUN = "bucket int, keys binary, owners binary"
 TEXTS = "chunk int, piece long, block binary"
@@ -188,6 +189,7 @@ class Chunk:
         self.cuts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(1, dtype=np.int64)
         self.cuts = np.append(self.cuts, len(self.keys))
         self.split: dict[tuple[int, int], list[bytes]] = {}
+        self.held = 0
 
     def bucket(self, b: int) -> slice:
         return slice(self.cuts[b], self.cuts[b + 1])
@@ -197,9 +199,11 @@ class Chunk:
         w = self.parts[n][1]
         d = int(np.searchsorted(w.of, word, side="right")) - 1
         if (n, d) not in self.split:
-            if len(self.split) > 200:
-                self.split.clear()
             s, e = int(w.of[d]), int(w.of[d + 1])
+            self.held += e - s
+            if self.held > WORDS:
+                self.split.clear()
+                self.held = e - s
             self.split[n, d] = w.data[w.starts[s] : w.ends[e - 1]].tobytes().split()
         return self.split[n, d], word - int(w.of[d])
 
@@ -257,6 +261,7 @@ def deal(docs: DataFrame, volume: int, base: int, chunk: int) -> Deal:
     found = docs.agg(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], max(10_000, 4 * fine))).first()[0] if chunks > 1 else []
     edges = np.array(sorted({y for x in found or [] for y in (x, min(x + 1, LAST))} | {LAST}), dtype=np.int64)
 
+    @W.freeing
     def count(batches):
         total = np.zeros(len(edges) + 1, dtype=np.int64)
         for b in batches:
@@ -293,7 +298,7 @@ def mark(docs: DataFrame, k: int = 13, index: Index | None = None, keep_text: bo
     own = own.withColumn("doc_id", F.col("doc_id").cast("long"))
     volume = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passing = index is None
-    index = index or Index(docs.sparkSession, Scratch(docs.sparkSession, "fingerprints").path("index"), max(6, (volume >> 24).bit_length()))
+    index = index or Index(docs.sparkSession, Scratch(docs.sparkSession, "fingerprints").path("index"), max(7, (volume >> 23).bit_length()))
     batch = batch or min(CHUNK * CHUNKS, -(-volume // BATCHES) if passing else CHUNK * CHUNKS)
     split = deal(own, volume, 0, batch).bounds.tolist() if volume > batch else []
     ends = [None, *split, None]
@@ -316,9 +321,10 @@ def _batch(own: DataFrame, k: int, index: Index, keep_text: bool, chunk: int, wi
     id_at = names.index("doc_id")
     family, base = dealt.family, dealt.base
 
+    @W.freeing
     def pack(batches):
         piece = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             to = dealt.of(b.column(id_at).fill_null(LAST).to_numpy())
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
@@ -412,10 +418,13 @@ def _batch(own: DataFrame, k: int, index: Index, keep_text: bool, chunk: int, wi
                 wrong = c.differing(words, np.arange(b - a), run[a:b])
                 if wrong.any():
                     clashes.append(run[a:b][wrong])
-        if clashes:
-            wanted[-1, np.unique(np.concatenate(clashes)).tobytes()] = None
         wanted[-2, np.packbits(np.concatenate(marks)).tobytes() if marks else b""] = None
-        return pa.table({"owner": pa.array([o for o, _ in wanted], pa.int32()), "claimant": pa.array([key[0].as_py()] * len(wanted), pa.int32()), "claim": pa.array([t for _, t in wanted], pa.binary())})
+        wrong_keys = np.unique(np.concatenate(clashes)).view(np.int64).tolist() if clashes else []
+        owners, texts_ = [o for o, _ in wanted] + [-1] * len(wrong_keys), [t for _, t in wanted] + [None] * len(wrong_keys)
+        return pa.table({
+            "owner": pa.array(owners, pa.int32()), "claimant": pa.array([key[0].as_py()] * len(owners), pa.int32()),
+            "claim": pa.array(texts_, pa.binary()), "key": pa.array([None] * len(wanted) + wrong_keys, pa.int64()),
+        })
 
     def claimed(claims: pa.Table):
         """(row of claims, first words, words, keys) of each claimed stretch."""
@@ -438,11 +447,12 @@ def _batch(own: DataFrame, k: int, index: Index, keep_text: bool, chunk: int, wi
                     wrong = c.differing(words, np.arange(b - a), run[a:b])
                     if wrong.any():
                         failed.append(run[a:b][wrong])
-        return pa.table({"keys": pa.array([np.unique(np.concatenate(failed)).tobytes()] if failed else [], pa.binary())})
+        return pa.table({"key": pa.array(np.unique(np.concatenate(failed)).view(np.int64) if failed else np.zeros(0, dtype=np.int64))})
 
     def spelling(wanted, first: int | None):
         """(chunk, key, words, first) of every window whose key is wanted; ``first`` stands for its doc_id where given."""
 
+        @W.freeing
         def spell(batches):
             for b in batches:
                 for chunk_, block in zip(b.column(0).to_pylist(), b.column(2)):
@@ -514,17 +524,17 @@ def _batch(own: DataFrame, k: int, index: Index, keep_text: bool, chunk: int, wi
     name, n_buckets = index.write(answers, "bucket", kinds=True)
     here = f"{index.path}/{name}/kind=0"
     found = spark.read.schema("bucket int, chunk int, keys binary, owners binary").parquet(here) if index.fs.exists(here) else spark.createDataFrame([], "bucket int, chunk int, keys binary, owners binary")
-    claims = scratch.save(store.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(asked, "owner int, claimant int, claim binary"), "claims")
-    failed = claims.filter("owner = -1").select(F.col("claim").alias("keys"))
+    claims = scratch.save(store.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(asked, "owner int, claimant int, claim binary, key long"), "claims")
+    failed = claims.filter("owner = -1").select("key")
     found = claims.filter("owner = -2").select(F.col("claimant").alias("chunk"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("words"), F.lit(None).cast("long").alias("first"), F.col("claim").alias("marks"))
     claims = claims.filter("owner >= 0").select("owner", "claim").distinct()  # a passage that many chunks have goes to its first chunk once
     for part, least, end in [*m["texts"], [texts, base, base + dealt.chunks]]:
         some = claims.filter(F.col("owner").between(least, end - 1))
         held = index.read(part, m["buckets"].get(part, n), "chunk", TEXTS)
         held = held.join(some.select(F.col("owner").alias("chunk")).distinct(), "chunk", "left_semi")
-        failed = failed.unionByName(held.groupBy("chunk").cogroup(some.groupBy("owner")).applyInArrow(compared, "keys binary"))
+        failed = failed.unionByName(held.groupBy("chunk").cogroup(some.groupBy("owner")).applyInArrow(compared, "key long"))
     seen = Observation()
-    failed = scratch.save(failed.mapInArrow(single, "key long").distinct().observe(seen, F.count(F.lit(1)).alias("n")), "failed")
+    failed = scratch.save(failed.distinct().observe(seen, F.count(F.lit(1)).alias("n")), "failed")
     if seen.get["n"]:
         parts, spelt = -(-seen.get["n"] // SPELT), None
         for p in range(parts):
@@ -543,13 +553,6 @@ def _batch(own: DataFrame, k: int, index: Index, keep_text: bool, chunk: int, wi
     return store.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(applied, schema)
 
 
-def single(batches):
-    """Keys one by one."""
-    for b in batches:
-        for x in b.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), dtype=np.int64))], names=["key"])
-
-
 def windows(docs: pa.Table, k: int, width: int):
     """Words, doc_id of each window, first words, keys, slice by slice."""
     ids = docs.column("doc_id").fill_null(LAST).to_numpy()

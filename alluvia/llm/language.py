@@ -120,6 +120,7 @@ def predict(docs: DataFrame, profiles: dict[str, tuple[np.ndarray, np.ndarray]],
         for batch in batches:
             found = [nearest(x.as_py(), known, size) for x in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+        W.release()
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in named.schema.fields[:-1]) + "lang_pred string, score double"
     return named.mapInArrow(make, schema)

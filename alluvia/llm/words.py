@@ -170,3 +170,14 @@ def releasing(fn: Callable) -> Callable:
     if fn.__code__.co_argcount == 2:
         return lambda a, b: last(fn(a, b))
     return lambda a, b, c: last(fn(a, b, c))
+
+
+def freeing(fn: Callable) -> Callable:
+    """A function of batches that drops what another operator has left in its worker, and gives back at its end what it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from fn(batches)
+        release()
+
+    return run
