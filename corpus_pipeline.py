@@ -31,12 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group (five-word shingles, similarity 0.8 or more)."""
-    found = Scratch(spark, "pipeline").save(minhash.groups(docs, k=5), "groups")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = kept.filter("n > 1").limit(1).count() > 0
-    out = docs.select(*COLUMNS).join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """Keeps the document with the least doc_id of each group (five-word shingles, similarity 0.8 or more) and all without words."""
+    return minhash.deduplicated(docs.select(*COLUMNS), k=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,16 +34,46 @@ def test_groups_match_brute_force(spark, k):
     assert got == brute.near_duplicates(rows, k)
 
 
-def test_waves_and_the_exchange_of_texts_change_nothing(spark, monkeypatch):
+def test_waves_and_small_cells_change_nothing(spark, monkeypatch):
     rows = near_texts(9)
-    monkeypatch.setattr(minhash, "FEW", 0)
     monkeypatch.setattr(minhash, "CELL", 8)
     monkeypatch.setattr(minhash, "WAVE", 0)
-    monkeypatch.setattr(minhash, "max", lambda *a: 50 if 200_000 in a else max(*a), raising=False)
+    monkeypatch.setattr(minhash, "LEAST", 50)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute.near_duplicates(rows)
 
 
+def thue_morse(a: str, b: str, order: int) -> str:
+    x, y = a, b
+    for _ in range(order):
+        x, y = x + y, y + x
+    return x
+
+
+def test_words_with_equal_polynomials_stay_apart(spark):
+    """Words of 2048 letters that agree under every polynomial modulo 2**64; the texts share no shingle."""
+    x, y = thue_morse("a", "b", 11), thue_morse("b", "a", 11)
+    rows = [(1, f"{x} {x}"), (2, f"{y} {y}"), (3, f"{x} {y} {x}"), (4, f"{y} {y}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute.near_duplicates(rows) == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (1, 2)}
+
+
+def test_rows_stay_by_words_and_not_by_id(spark):
+    text, other = "one two three four five six seven", "quite another text of several words"
+    rows = [(3, text, "x"), (5, text.upper(), "x"), (5, other, "x"), (None, text, "x"), (None, None, "x"), (6, other, "y"), (5, other, "a"), (7, "", None), (7, "", None)]
+    out = minhash.deduplicated(spark.createDataFrame(rows, DOCS + ", __stays string").repartition(3), k=5)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(3, text, "x"), (5, other, "a"), (None, None, "x"), (7, "", None), (7, "", None)], key=repr)
+    assert minhash.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    g = random.Random(0)
+    w = [f"w{g.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-9000])), (3, " ".join(w[:70_000])), (4, "x" * 2_000_000), (5, "X" * 2_000_000)]
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_sketches_lose_no_more_than_bands():
     p, missed = 0.2 * 15 / 16, (1 - 0.8**5) ** 40
     beyond = lambda cut: sum(math.comb(200, x) * p**x * (1 - p) ** (200 - x) for x in range(cut + 1, 201))
