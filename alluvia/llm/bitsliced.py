@@ -7,12 +7,13 @@ are added to a running pair of sums and carries (negative weights add complement
 rows are then selected from the most significant slice of the scores downward; rows equal to the last score are the boundary, and of
 them the smallest vec_ids are taken. Nothing is approximated, so every row is indexed and found.
 
-Queries go in blocks too: a block of the index meets each block of queries once, and returns k rows a query.
+The index is a table of blocks (ids, and the bitmaps themselves), which stays where it lies: queries are broadcast in blocks of at most
+QUERY_BYTES, one pass over the index each, and a block of the index returns k rows a query.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor does a row without a
 vec_id; vectors of other lengths are compared over the components that both have; rows that share the query's vec_id are the
-query's own; of query rows that share one, that with the least vector asks; components beyond WIDE are scored with exact integers
-outside the slices; scores beyond 64 bits saturate; an empty table gives no rows; other columns are ignored.
+query's own; of query rows that share one, that with the least vector asks; components of any size have as many slices
+as they need, and the sums too; quantised components and scores beyond 64 bits saturate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from alluvia.storage import Scratch
 
-ROWS, QUERIES, WIDE = 32_768, 2048, 1 << 20
+ROWS, QUERY_BYTES = 32_768, 2 << 20
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
@@ -35,7 +36,7 @@ def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """vec_id and floor(scale * x) of each vector that takes part."""
     x = F.col("embedding").cast("array<double>")
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter(usable).select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("q"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter(usable).select("vec_id", F.transform(x, lambda e: F.floor(e * scale)).alias("q"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -44,7 +45,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == lengths[0]).all():
         return flat.reshape(len(lengths), -1)
-    out = np.zeros((len(lengths), max(lengths, default=0)))
+    out = np.zeros((len(lengths), max(lengths, default=0)), dtype=np.int64)
     out[np.arange(out.shape[1]) < lengths[:, None]] = flat
     return out
 
@@ -52,43 +53,49 @@ def matrix(column: pa.Array) -> np.ndarray:
 class Sliced:
     """A block: ids in ascending order, and for each component its slices over the rows."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, lo: int, slices: np.ndarray):
+        self.ids, self.n, self.lo, self.slices = ids, len(ids), lo, slices
+        self.dims, self.bits, self.width = slices.shape
+        self.all = np.packbits(np.arange(self.width * 64) < self.n, bitorder="little").view(U)
+
+    @staticmethod
+    def of(ids: np.ndarray, values: np.ndarray) -> Sliced:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.n, self.dims = ids[order], len(ids), values.shape[1]
-        values = values[order].astype(np.int64)
-        self.lo = int(values.min()) if values.size else 0
-        raised = (values - self.lo).astype(U)
-        self.bits = max(1, int(raised.max()).bit_length()) if values.size else 1
-        self.width = -(-self.n // 64)
-        self.slices = np.zeros((self.dims, self.bits, self.width), dtype=U)
-        padded = np.zeros((self.width * 64, self.dims), dtype=U)
-        padded[: self.n] = raised
-        for b in range(self.bits):
+        ids, values = ids[order], values[order].astype(np.int64)
+        n, dims, width = len(ids), values.shape[1], -(-len(ids) // 64)
+        lo = int(values.min()) if values.size else 0
+        raised = values.astype(U) - U(lo % (1 << 64))  # modulo 2**64, so exact
+        bits = max(1, int(raised.max()).bit_length()) if values.size else 1
+        slices = np.zeros((dims, bits, width), dtype=U)
+        padded = np.zeros((width * 64, dims), dtype=U)
+        padded[:n] = raised
+        for b in range(bits):
             on = ((padded >> U(b)) & U(1)).astype(np.uint8)
-            self.slices[:, b] = np.packbits(on, axis=0, bitorder="little").T.copy().view(U)
-        self.all = np.packbits(np.arange(self.width * 64) < self.n, bitorder="little").view(U)
+            slices[:, b] = np.packbits(on, axis=0, bitorder="little").T.copy().view(U)
+        return Sliced(ids, lo, slices)
 
     def scores(self, weights: np.ndarray) -> tuple[np.ndarray, int]:
         """Slices of the sum, least significant first, and the constant to add to it."""
-        w = weights[: self.dims]
-        size, negative = np.abs(w), w < 0
+        w = [int(x) for x in weights[: self.dims]]
+        size, negative = [abs(x) for x in w], [x < 0 for x in w]
         top = (1 << self.bits) - 1
-        constant = self.lo * int(w.sum()) - top * int(size[negative].sum())
-        height = max(1, (int(size.sum()) * top).bit_length())
+        constant = self.lo * sum(w) - top * sum(x for x, n in zip(size, negative) if n)
+        height = max(1, (sum(size) * top).bit_length())
         sums, carries = np.zeros((height, self.width), dtype=U), np.zeros((height, self.width), dtype=U)
         one, two, three = (np.empty((height, self.width), dtype=U) for _ in range(3))
-        for j in range(int(size.max(initial=0)).bit_length() - 1, -1, -1):
+        for j in range(max(size, default=0).bit_length() - 1, -1, -1):
             sums[1:], carries[1:] = sums[:-1].copy(), carries[:-1].copy()
             sums[0] = carries[0] = 0
-            h = min(height, max(self.bits, (int((size >> j).sum()) * top).bit_length()))
-            for d in np.flatnonzero((size >> j) & 1):
+            h = min(height, max(self.bits, (sum(x >> j for x in size) * top).bit_length()))
+            for d in (d for d, x in enumerate(size) if x >> j & 1):
                 x = ~self.slices[d] if negative[d] else self.slices[d]
+                low = min(h, self.bits)
                 s, c, t, u, v = sums[:h], carries[:h], one[:h], two[:h], three[:h]
                 np.bitwise_xor(s, c, out=t)  # s + c + x: sums s ^ c ^ x, carries s & c | (s ^ c) & x
                 np.bitwise_and(s, c, out=u)
-                np.bitwise_and(t[: self.bits], x, out=v[: self.bits])
-                u[: self.bits] |= v[: self.bits]
-                t[: self.bits] ^= x
+                np.bitwise_and(t[:low], x[:low], out=v[:low])
+                u[:low] |= v[:low]
+                t[:low] ^= x[:low]
                 s[:] = t
                 c[1:] = u[:-1]
                 c[0] = 0
@@ -122,20 +129,12 @@ class Sliced:
             boundary = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little"))
             rows = np.concatenate([rows, boundary[: k - len(rows)]])
         bits = (sums[:, rows // 64] >> (rows % 64).astype(U)) & U(1)
-        score = (bits.astype(np.int64) << np.arange(len(sums), dtype=np.int64)[:, None]).sum(axis=0) + constant
-        return self.ids[rows], score
-
-
-def wide_best(ids: np.ndarray, values: np.ndarray, own: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same by exact integers, for components that are too large for slices."""
-    d = min(values.shape[1], len(weights))
-    exact = [(max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(v[:d], weights[:d])))), int(i)) for i, v in zip(ids, values) if i != own]
-    best = sorted(exact, key=lambda x: (-x[0], x[1]))[:k]
-    return np.array([i for _, i in best], dtype=np.int64), np.array([s for s, _ in best], dtype=np.int64)
+        score = (bits.astype(object) * [[1 << i] for i in range(len(sums))]).sum(axis=0) + constant if len(sums) > 62 else (bits.astype(np.int64) << np.arange(len(sums), dtype=np.int64)[:, None]).sum(axis=0).astype(object) + constant
+        return self.ids[rows], np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in score], dtype=np.int64)
 
 
 def blocks(quantised_: DataFrame) -> DataFrame:
-    """The index: rows packed to blocks of at most ROWS."""
+    """The index: rows packed to blocks of at most ROWS, as bitmaps."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,9 +142,8 @@ def blocks(quantised_: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            values = matrix(t.column(1).chunk(0))
-            ids = t.column(0).to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["n", "ids", "vectors"])
+            x = Sliced.of(t.column(0).to_numpy(), matrix(t.column(1).chunk(0)))
+            return pa.RecordBatch.from_arrays([pa.array([x.dims], pa.int32()), pa.array([x.bits], pa.int32()), pa.array([x.lo], pa.int64()), pa.array([x.ids.tobytes()], pa.binary()), pa.array([x.slices.tobytes()], pa.binary())], names=["dims", "bits", "lo", "ids", "slices"])
 
         for b in batches:
             for a in range(0, b.num_rows, ROWS):
@@ -156,7 +154,7 @@ def blocks(quantised_: DataFrame) -> DataFrame:
         if sum(x.num_rows for x in held):
             yield flush()
 
-    return quantised_.mapInArrow(make, "n int, ids binary, vectors binary")
+    return quantised_.mapInArrow(make, "dims int, bits int, lo long, ids binary, slices binary")
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
@@ -166,34 +164,31 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0)
     q = quantised(vectors, scale)
     index = scratch.save(blocks(q), "index")
     asking = scratch.save(q.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q")), "asking")
-    groups = max(1, -(-asking.count() // QUERIES))
-
-    def pack(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        return pa.table({"group": t.column("group").slice(0, 1), "asked": pa.array([t.column("vec_id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "weights": pa.array([matrix(t.column("q").chunk(0)).tobytes()], pa.binary())})
+    n, longest = asking.agg(F.count("*"), F.max(F.size("q"))).first()
+    passes = max(1, -(-n * 8 * (longest or 1) // QUERY_BYTES))
+    best = None
+    for p in range(passes):
+        asked = asking.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).toArrow().combine_chunks()
+        ids = asked.column("vec_id").to_numpy()
+        weights = matrix(asked.column("q").chunk(0)) if len(ids) else np.zeros((0, 0), dtype=np.int64)
+        part = index.mapInArrow(searching(spark.sparkContext.broadcast((ids, weights)), k), "query_id long, vec_id long, score long")
+        if passes > 1:
+            part = scratch.save(part, f"best-{p}")
+        best = part if best is None else best.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    dealt = asking.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    dealt = dealt.groupBy("group").applyInArrow(pack, "group int, asked binary, weights binary")
-    pairs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(dealt, "group")
 
+def searching(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, object] = (None, None)
+        own, w = shared.value
         for batch in batches:
-            for n, ids, values, asked, weights in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "ids", "vectors", "asked", "weights"))):
-                own, w = np.frombuffer(asked, dtype=np.int64), np.frombuffer(weights, dtype=np.float64)
-                w = w.reshape(len(own), -1)
-                i, v = np.frombuffer(ids, dtype=np.int64), np.frombuffer(values, dtype=np.float64).reshape(n, -1)
-                wide = max(np.abs(v).max(initial=0), np.abs(w).max(initial=0)) >= WIDE
-                if not wide and last[0] != ids:
-                    last = (ids, Sliced(i, v))
-                queries, found, scores = [], [], []
-                for x, weight in zip(own.tolist(), w):
-                    f, s = wide_best(i, v, x, weight, k) if wide else last[1].best(x, weight.astype(np.int64), k)
-                    queries.append(np.full(len(f), x))
-                    found.append(f)
-                    scores.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (queries, found, scores)], names=["query_id", "vec_id", "score"])
-
-    best = pairs.select("n", "ids", "vectors", "asked", "weights").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for dims, bits, lo, ids, slices in zip(*batch.columns):
+                i = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+                block = Sliced(i, lo.as_py(), np.frombuffer(slices.as_buffer(), dtype=U).reshape(dims.as_py(), bits.as_py(), -(-len(i) // 64)))
+                for a in range(0, len(own), 1024):
+                    found = [(x, *block.best(x, weight, k)) for x, weight in zip(own[a : a + 1024].tolist(), w[a : a + 1024])]
+                    columns = [np.full(len(f), x) for x, f, _ in found], [f for _, f, _ in found], [s for _, _, s in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return search
