@@ -4,8 +4,9 @@ Terms are the words of a text, their leading 4 to 7 bytes, and the order of magn
 2**18 buckets and taken once a text. The score is sigmoid(w0 + sum w[i] + sum over pairs <v[i], v[j]>), the pairs summed in
 linear time as (|sum v|**2 - sum |v|**2) / 2; so a pair of terms can mean more than both alone.
 
-The model is fitted on at most ``sample`` labelled texts (chosen by a hash of doc_id; whole texts): buckets whose share of texts differs most
-between the labels are kept, then all parameters are fitted together by AdaGrad. Every text is scored whole.
+The model is fitted on at most ``sample`` labelled texts (chosen by a hash of doc_id; whole texts) by AdaGrad with sparse updates, in two turns: first the
+terms whose share of texts differs clearly between the labels, which finds a good start from few texts; then, from there, all parameters of all
+buckets together. No term is left out, so one that means something only beside another is learned as well. Every text is scored whole.
 
 Defined results: a null or empty text has only the length term and gets a score like any other; labels that are null, or of
 documents that are not there, teach nothing; a doc_id labelled both ways counts as toxic; without labels of both kinds every score
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from alluvia.llm import words as W
 
 U = np.uint64
-BITS, SAMPLE, TERMS, FACTORS = 18, 40_000, 4096, 4
+BITS, SAMPLE, FACTORS = 18, 40_000, 4
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -55,7 +56,6 @@ def once(text: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 @dataclass
 class Machine:
-    place: np.ndarray  # bucket to its place among the kept ones, or -1
     bias: float
     w: np.ndarray
     v: np.ndarray
@@ -67,27 +67,38 @@ class Machine:
             z += (np.bincount(text, x, n) ** 2 - np.bincount(text, x * x, n)) / 2
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def kept(self, text: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.place[bucket]
-        return once(text[at >= 0], at[at >= 0], len(self.w) or 1)
 
-
-def choose(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, most: int) -> np.ndarray:
-    """The buckets with the greatest difference of shares, in standard errors; seen in three texts at least."""
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The buckets whose shares differ by three standard errors, seen in three texts at least: those that are fitted first."""
     both = toxic + clean
     share = both / (n_toxic + n_clean)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_clean))
-    z = np.abs(toxic / n_toxic - clean / n_clean) / error
-    z[(both < 3) | (z < 3)] = 0
-    order = np.argsort(-z, kind="stable")[:most]
-    return np.sort(order[z[order] > 0])
-
-
-def fit(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    return np.flatnonzero((both >= 3) & (np.abs(toxic / n_toxic - clean / n_clean) >= 3 * error))
+
+
+def fit_all(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int = FACTORS) -> tuple[float, np.ndarray, np.ndarray]:
+    """Both turns."""
+    n_toxic = int(labels.sum())
+    toxic = sum((np.bincount(t, minlength=n_terms) for t, y in zip(texts, labels) if y), np.zeros(n_terms))
+    clean = sum((np.bincount(t, minlength=n_terms) for t, y in zip(texts, labels) if not y), np.zeros(n_terms))
+    first = telling(toxic, clean, n_toxic, len(texts) - n_toxic)
+    start = None
+    if len(first):
+        place = np.full(n_terms, -1)
+        place[first] = np.arange(len(first))
+        bias, some, pairs = fit([p[p >= 0] for p in (place[t] for t in texts)], labels, len(first), factors)
+        w, v = np.zeros(n_terms), np.random.default_rng(7).normal(0, 0.02, (n_terms, factors))
+        w[first], v[first] = some, pairs
+        start = bias, w, v
+    return fit(texts, labels, n_terms, factors, epochs=3, rate=0.1 if start is None else 0.005, calm=1e-3, start=start)
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, seed: int = 7, calm: float = 1e-6, start: tuple | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     g = np.random.default_rng(seed)
     share = labels.mean()
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms), g.normal(0, 0.02, (n_terms, factors))
-    gw, gv, gb = np.full(n_terms, 1e-6), np.full((n_terms, factors), 1e-6), 1e-6
+    bias, w, v = start or (bias, w, v)
+    gw, gv, gb = np.full(n_terms, calm), np.full((n_terms, factors), calm), calm  # so that a term seen once moves little
     for _ in range(max(epochs, -(-300 * 64 // len(texts)))):  # 300 steps at least, however few the texts
         order = g.permutation(len(texts))
         for a in range(0, len(order), 64):
@@ -113,56 +124,30 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int
     return bias, w, v
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """``labels``: doc_id and toxic of the rows that may teach."""
-    spark = docs.sparkSession
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = given.count()
     chosen = given.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(1, total)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("toxic", "text")  # the sample bounds what is broadcast
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, 1 << BITS), dtype=np.int64)
-        n = np.zeros(2, dtype=np.int64)
-        for batch in batches:
-            toxic = (batch.column(0).to_numpy() == 1).astype(np.int64)
-            n += np.bincount(toxic, minlength=2)
-            for first, data, offsets in W.slices(batch.column(1)):
-                text, bucket = once(*terms(data, offsets), 1 << BITS)
-                totals += np.bincount(toxic[first + text] * (1 << BITS) + bucket, minlength=2 << BITS).reshape(2, -1)
-        some = np.flatnonzero(totals.sum(axis=0))
-        out = np.concatenate([[-1], some]), np.concatenate([n[:1], totals[0, some]]), np.concatenate([n[1:], totals[1, some]])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["bucket", "clean", "toxic"])
-
-    toxic, clean, n_toxic, n_clean = np.zeros(1 << BITS), np.zeros(1 << BITS), 0, 0
-    for r in rows.mapInArrow(shares, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toLocalIterator():
-        if r["bucket"] < 0:
-            n_toxic, n_clean = r["toxic"], r["clean"]
-        else:
-            toxic[r["bucket"]], clean[r["bucket"]] = r["toxic"], r["clean"]
-    place = np.full(1 << BITS, -1, dtype=np.int64)
-    if not n_toxic or not n_clean:
-        share = n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0
-        return Machine(place, float(np.log((share + 1e-17) / (1 - share + 1e-17))), np.zeros(0), np.zeros((0, FACTORS)))
-    kept = choose(toxic, clean, n_toxic, n_clean, most)
-    place[kept] = np.arange(len(kept))
-    machine = Machine(place, 0.0, np.zeros(len(kept)), np.zeros((len(kept), FACTORS)))
-    shared = spark.sparkContext.broadcast(machine)
-
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
             for _, data, offsets in W.slices(batch.column(1)):
-                text, term = shared.value.kept(*terms(data, offsets))
+                text, term = once(*terms(data, offsets), 1 << BITS)
                 cuts = np.searchsorted(text, np.arange(1, len(offsets) - 1))
                 out += [x.astype(np.int32).tobytes() for x in np.split(term, cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([(batch.column(0).to_numpy() == 1).astype(np.int32), pa.array(out, pa.binary())], names=["toxic", "terms"])
 
-    found = rows.mapInArrow(reduced, "toxic int, terms binary").collect()
-    found.sort(key=lambda r: (r["terms"], r["toxic"]))  # the order of arrival must not matter
-    texts = [np.frombuffer(r["terms"], dtype=np.int32).astype(np.int64) for r in found]
-    machine.bias, machine.w, machine.v = fit(texts, np.array([float(r["toxic"] == 1) for r in found]), len(kept))
-    return machine
+    found = rows.mapInArrow(reduced, "toxic int, terms binary").toArrow()
+    texts = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found.column("terms")]
+    toxic = found.column("toxic").to_numpy()
+    order = sorted(range(len(texts)), key=lambda i: (texts[i].tobytes(), toxic[i]))  # the order of arrival must not matter
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    if share in (0.0, 1.0):
+        return Machine(float(np.log((share + 1e-17) / (1 - share + 1e-17))), np.zeros(1 << BITS), np.zeros((1 << BITS, 1)))
+    return Machine(*fit_all([texts[i] for i in order], toxic[order].astype(float), 1 << BITS))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -174,7 +159,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for batch in batches:
             for first, data, offsets in W.slices(batch.column(1)):
                 n = len(offsets) - 1
-                p = m.score(*m.kept(*terms(data, offsets)), n)
+                p = m.score(*once(*terms(data, offsets), 1 << BITS), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, score double")

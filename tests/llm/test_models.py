@@ -76,10 +76,10 @@ def brute_top(rows, every=20, k=20):
     return out
 
 
-@pytest.mark.parametrize("shape", ["plain", "ties", "ragged", "wide"])
+@pytest.mark.parametrize("shape", ["plain", "ties", "ragged", "wide", "wider"])
 def test_top_k_matches_brute_force(spark, shape):
     g = random.Random(shape)
-    value = {"plain": lambda: g.gauss(0, 0.3), "ties": lambda: g.choice([0.0, 0.1, -0.1]), "ragged": lambda: g.gauss(0, 2), "wide": lambda: g.gauss(0, 1) * 10 ** g.randrange(0, 7)}[shape]
+    value = {"plain": lambda: g.gauss(0, 0.3), "ties": lambda: g.choice([0.0, 0.1, -0.1]), "ragged": lambda: g.gauss(0, 2), "wide": lambda: g.gauss(0, 1) * 10 ** g.randrange(0, 7), "wider": lambda: g.gauss(0, 1) * 2.0 ** g.randrange(0, 23)}[shape]
     rows = [(i, [value() for _ in range(g.randrange(0, 6) if shape == "ragged" else 5)]) for i in range(400)]
     rows += [(500, None), (520, [0.1, None, 0.2, 0.3, 0.4]), (540, [float("nan")] * 5), (560, [float("inf")] * 5), (None, [0.1] * 5), (-20, [0.5] * 5)]
     g.shuffle(rows)
@@ -93,7 +93,7 @@ def test_top_k_matches_brute_force(spark, shape):
 
 def test_top_k_in_small_blocks_repeats_and_no_rows(spark, monkeypatch):
     monkeypatch.setattr(bitsliced, "ROWS", 70)
-    monkeypatch.setattr(bitsliced, "QUERIES", 4)
+    monkeypatch.setattr(bitsliced, "QUERY_BYTES", 256)
     g = random.Random(1)
     rows = [(i, [g.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     got: dict = {}
@@ -141,13 +141,41 @@ def test_a_factorization_machine_learns_what_only_pairs_mean():
         texts.append(np.unique(terms))
         labels.append(float(insult and group))
     bias, w, v = toxicity.fit(texts, np.array(labels), 12, epochs=25)
-    m = toxicity.Machine(np.arange(12), bias, w, v)
+    m = toxicity.Machine(bias, w, v)
     p = {t: m.score(np.zeros(len(t), dtype=int), np.array(t), 1)[0] for t in [(0, 1), (0,), (1,), (2,)]}
     assert p[0, 1] > 0.9 and max(p[0,], p[1,], p[2,]) < 0.1
     pairs = sum(v[i] @ v[j] for i, j in [(0, 1)])
     assert abs(math.log(p[0, 1] / (1 - p[0, 1])) - (bias + w[0] + w[1] + pairs)) < 1e-9
 
 
+def test_pairs_without_single_effects_are_learned_from_texts(spark):
+    """Toxic is who holds just one of two words; each word by itself says nothing."""
+    g = random.Random(3)
+    rows, labels = [], []
+    for d in range(1200):
+        a, b = g.random() < 0.5, g.random() < 0.5
+        w = ["vile"] * a + ["folk"] * b + [f"n{g.randrange(30)}" for _ in range(4)]
+        g.shuffle(w)
+        rows.append((d, " ".join(w)))
+        labels.append((d, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.learn(docs, spark.createDataFrame(labels[:900], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    assert np.mean([(got[d] >= 0.5) == y for d, y in labels[900:]]) > 0.95
+
+
+def test_scores_match_the_formula(spark):
+    g = np.random.default_rng(2)
+    n = 1 << toxicity.BITS
+    m = toxicity.Machine(-0.5, g.normal(0, 0.3, n), g.normal(0, 0.1, (n, 3)))
+    rows = [(1, "Some words, some WORDS again"), (2, None), (3, ""), (4, "naïve Überlänge " * 3), (5, "x " * 3000)]
+    for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect():
+        data = (dict(rows)[r.doc_id] or "").encode()
+        _, t = toxicity.once(*toxicity.terms(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)])), n)
+        z = m.bias + sum(m.w[i] for i in t) + sum(m.v[i] @ m.v[j] for a, i in enumerate(t) for j in t[:a])
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(i, f"good words {i}") for i in range(30)] + [(i, f"vile words {i}") for i in range(30, 60)] + [(None, None), (99, ""), (99, "vile " * 60_000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)] + [(5, 0), (None, 1), (77, None), (12345, 1)], "doc_id long, toxic int")
