@@ -228,7 +228,7 @@ class VersionedTable:
             if not rebase:
                 raise ConcurrentWriteError(f"version {version} of {self.path} was written by another commit")
             s = self.state()  # with what the other commit has made of the schema
-            version = s.version + 1
+            version = max(version, s.version) + 1
             if callable(rebase):
                 entry.pop("schema", None)
                 if (schema := rebase(s.schema)) != s.schema:
