@@ -3,7 +3,7 @@
 The tables are read from the vocabulary file of a public tokenizer (its JSON: model, added tokens, normaliser, split pattern);
 no library encodes anything here. Text is cut at the special tokens, normalised (NFC, lower case character by character),
 split into words by the file's pattern; each word's bytes are merged. Words recur, so each Python worker keeps the results
-of the words that it has met, up to CACHE of them.
+of the words that it has last met, up to CACHE of them, each as one string: its ids, a line feed, its tokens.
 
 Defined results: a null text is empty; an empty text, or one of white space, has no ids and decodes to the empty string;
 repeated rows are encoded alike; an empty table gives none; columns other than doc_id and the text are ignored by ``encode``.
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from alluvia.llm import words as W
 
-CACHE = 300_000  # words, and as many runs between white space, kept by each Python worker
+CACHE = 300_000  # words, and half as many runs between white space (which cost little once their words are known), kept by each Python worker
+LONGEST = 64  # characters of a word or run that is kept
 #: Letters, digits and lower-case forms of the Unicode version that the tokenizers library uses, beyond those of Python's own tables.
 LATER = {
     "L": r"\U00001c89-\U00001c8a\U0000a7cb-\U0000a7cd\U0000a7d2\U0000a7d4\U0000a7da-\U0000a7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0",
@@ -66,19 +67,31 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Kept(dict):
-    """Results by word or run, made on first use; emptied when full, so that its size is bounded."""
+    """Results by word or run, made on first use, up to CACHE // ``share`` of them. When half of that are new, those not met since the last time
+    go, so that what recurs stays and the size is bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, share: int = 1):
         super().__init__()
-        self.make = make
+        self.make, self.share = make, share
+        self.old: dict[str, str] = {}
         W.HELD.append(self)
 
-    def __missing__(self, key: str) -> tuple[str, str]:
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = found = self.make(key)
+    def __missing__(self, key: str) -> str:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) > LONGEST:
+            return found
+        if len(self) >= CACHE // self.share // 2:
+            self.old = dict(self)
+            super().clear()
+        self[key] = found
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
 
 class Bpe:
     def __init__(self, file: str):
@@ -87,6 +100,8 @@ class Bpe:
         vocab = j["model"]["vocab"]
         self.end = j["model"]["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in j["added_tokens"]}
+        if any("\n" in t for t in self.tokens.values()):
+            raise ValueError(f"{file}: a token holds a line feed")
         self.special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -99,7 +114,7 @@ class Bpe:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in j["model"]["merges"]):
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.words, self.runs = Kept(self.word), Kept(self.run)
+        self.words, self.runs = Kept(self.word), Kept(self.run, 2)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word. The queue holds (rank, place, left, right, merged); an entry whose symbols have since changed is stale and skipped."""
@@ -132,40 +147,46 @@ class Bpe:
                 push(queue, (r[0], h, ids[h], new, r[1]))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[str, str]:
+    def word(self, word: str) -> str:
         ids = self.merge(word)
-        return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(map(str, ids)) + "\n" + " ".join(map(self.tokens.__getitem__, ids))
 
-    def run(self, run: str) -> tuple[str, str]:
-        """(ids, tokens), each joined by a space, of a run of text: normalised, then cut into words."""
+    def run(self, run: str) -> str:
+        """Ids and tokens of a run of text: normalised, then cut into words. Empty if there are none."""
         pattern = self.ascii
         if not run.isascii():
             run, pattern = "".join(unicodedata.normalize("NFC", x) for x in NEWER.split(run)), self.pattern
             if LATE.search(run):  # forms that lower() lacks, or chooses by what stands around a letter
                 run = run.translate(FORMS)
         words = [self.words[w] for w in pattern.findall(run.lower())]
-        return (words[0] if len(words) == 1 else (" ".join([i for i, _ in words]), " ".join([t for _, t in words]))) if words else ("", "")
+        return words[0] if len(words) == 1 else "\n".join(joined(words)) if words else ""
 
-    def pieces(self, text: str) -> list[tuple[str, str]]:
-        """(ids, tokens) of each run between white space and each special token, in order."""
-        out: list[tuple[str, str]] = []
+    def symbols(self, text: str) -> tuple[str, str]:
+        """The ids of a text and its tokens, each joined by a space."""
+        out: list[str] = []
         for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else (text,)):
             if k % 2:
-                out.append((str(self.special[part]), part))
+                out.append(f"{self.special[part]}\n{part}")
             elif SEPARATORS.search(part):  # str.split() also divides at these, the pattern does not
                 out.append(self.run(part))
             else:
                 out.extend(map(self.runs.__getitem__, part.split()))
-        return [x for x in out if x[0]] if ("", "") in out else out
+        return joined([x for x in out if x] if "" in out else out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, _ in self.pieces(text) for x in ids.split(" ")]
+        return [int(x) for x in self.symbols(text)[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings in order; this vocabulary declares no decoder, so a space stands between them."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def joined(results: list[str]) -> tuple[str, str]:
+    """All ids and all tokens of some results."""
+    parts = "\n".join(results).split("\n")
+    return " ".join(parts[::2]), " ".join(parts[1::2])
+
+
 LOADED: dict[str, Bpe] = {}
 
 
@@ -180,24 +201,22 @@ def encode(docs: DataFrame, file: str, text: str = "text", ids: bool = False) ->
 
     ``file`` is a path that each executor can open, such as that of an installed package's data."""
 
-    def digest(parts: list[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(file)
+        W.release()  # what loading has freed
         for b in batches:
             out: list[list] = [[], [], [], []]
             for x in b.column(1):
-                found = bpe.pieces(x.as_py() or "")
-                joined = " ".join([i for i, _ in found])
-                out[0].append(joined.count(" ") + 1 if joined else 0)
-                out[1].append(hashlib.sha256(joined.encode("ascii")).hexdigest())
-                out[2].append(digest([t for _, t in found]))
-                out[3].append([int(i) for i in joined.split(" ")] if ids and joined else [])
+                numbers, tokens = bpe.symbols(x.as_py() or "")
+                out[0].append(numbers.count(" ") + 1 if numbers else 0)
+                out[1].append(hashlib.sha256(numbers.encode("ascii")).hexdigest())
+                out[2].append(hashlib.sha256(tokens.encode("utf-8")).hexdigest())
+                out[3].append([int(i) for i in numbers.split(" ")] if ids and numbers else [])
             columns = [b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 columns, names = [*columns, pa.array(out[3], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        W.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(rows, ENCODED + (", ids array<int>" if ids else ""))

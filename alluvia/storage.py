@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Fs:
@@ -106,3 +107,10 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self.fs.delete(self.path(name))
+
+
+def give_back(spark: SparkSession) -> None:
+    """Ask the JVM of each executor to collect its garbage, after which it returns free heap to the system, for the Python workers beside it.
+    There is a task for each core; nothing depends on where they run."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()

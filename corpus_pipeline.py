@@ -8,18 +8,33 @@ Rows whose doc_id is null have no identity and stay until another rule drops the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alluvia.llm import bpe, decontaminate, fingerprints, language, minhash
-from alluvia.storage import Scratch
+from alluvia.storage import Scratch, give_back
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts that are less like every language than this are rejected; running text scores 0.4 and more, letters at random below 0.2.
 LEAST_LIKE_A_LANGUAGE = 0.25
 
 
+def fresh(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that begins when executors have given back what the one before has left: their heaps only grow otherwise, beside Python workers that need room."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@fresh
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts like no language; a missing lang becomes the predicted one."""
     profiles = language.learn(docs)
@@ -30,11 +45,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.filter(~reject).withColumn("lang", F.when(F.col("lang_pred") == "und", F.col("lang")).otherwise(F.coalesce("lang", "lang_pred"))).select(*COLUMNS)
 
 
+@fresh
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group (five-word shingles, similarity 0.8 or more) and all without words."""
     return minhash.deduplicated(docs.select(*COLUMNS), k=5)
 
 
+@fresh
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words covered by 13-word windows that start in an earlier document; documents with nothing left go."""
     marked = fingerprints.mark(docs.select(*COLUMNS), keep_text=True)
@@ -44,12 +61,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@fresh
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which an eight-word window of a benchmark item occurs, whether or not the item has an id."""
     hit = decontaminate.find(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hit.filter(F.col("hit_bits").isNull()).select(*COLUMNS)
 
 
+@fresh
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -52,6 +52,31 @@ def test_full_caches_change_nothing(library, monkeypatch):
     assert len(mine.runs) <= 5
 
 
+def test_what_recurs_stays_in_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    made = []
+    kept = bpe.Kept(lambda w: made.append(w) or w)
+    for i in range(50):
+        assert kept["often"] == "often" and kept[f"once {i}"] == f"once {i}"
+        assert len(kept) + len(kept.old) <= 8
+    assert made.count("often") == 1
+    assert kept["x" * 1000] and "x" * 1000 not in kept
+    kept.clear()
+    assert not kept and not kept.old
+
+
+def test_kept_words_take_little_memory():
+    import tracemalloc
+
+    mine, g = bpe.Bpe(FILE), random.Random(5)
+    text = " ".join("".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000))
+    tracemalloc.start()
+    mine.encode(text)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 270 * 20_000
+
+
 def test_encode_rows(spark, library):
     import hashlib
 

@@ -89,3 +89,14 @@ def test_passages_of_items_without_an_id_go(spark, tmp_path):
     spark.createDataFrame([(None, item), (1, "quite other words than those that stand in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, f"before {item} after", "en", "s", 1), (2, "nothing of the kind", "en", "s", 1)], DOCS)
     assert [r.doc_id for r in corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_each_stage_begins_with_heaps_given_back(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], DOCS)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before
