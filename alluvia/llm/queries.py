@@ -15,9 +15,9 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    warc.write_archives(warc.classify(spark.read.parquet(f"{sf_dir}/pages.parquet")), scratch.path("archives"))
+    warc.write_archives(warc.classify(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch=scratch), scratch.path("archives"))
     warc.write_store(warc.read_archives(spark, scratch.path("archives")), scratch.path("store"))
-    scratch.drop("archives")
+    scratch.drop("archives", "again", "filter")
     return warc.rebuilt(spark, scratch.path("store"))
 
 

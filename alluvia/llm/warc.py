@@ -6,7 +6,7 @@ The original records come back by joining the two on the digest.
 
 Defined results: a null payload is an empty one; a null page_id is never the smallest and is written as ``none``; rows that
 share the smallest page_id of a payload are all responses; line breaks in a URL are percent-encoded, a null URL is empty;
-an empty table gives empty archives; columns other than page_id, url and html are ignored.
+an empty table gives no archives; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -19,25 +19,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alluvia.llm import bloom
+from alluvia.storage import Fs, Scratch
+
 CRLF = "\r\n"
 ID = "urn:warc:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+EMPTY = 20
 RECORDS = "page_id long, record_type string, payload_digest string, refers_to long, header binary, payload binary"
 
 
-def classify(pages: DataFrame, least: int = 100) -> DataFrame:
+def classify(pages: DataFrame, least: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """Each page with its payload, digest, size and, for all but the first of equal payloads of at least ``least`` bytes, the page that it repeats.
 
-    Only digests that occur more than once are joined back, so the exchange of the payloads themselves is usually avoided
-    (a broadcast) and a digest shared by many rows is split by adaptive execution."""
+    Only pages whose digest has a revisit are exchanged with their payloads, where adaptive execution splits a digest shared by many rows; the others are
+    kept back by a Bloom filter of 2 MB. A revisit has no payload from there on, so the exchanges here, in write_store and in reconstruct together move at
+    most two payloads for each page, on average over its group and whatever the table repeats, and three for a page that the filter passes wrongly."""
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", F.col("url"), html.alias("html")).withColumns({"payload_digest": F.sha2(F.col("html").cast("binary"), 256), "payload_bytes": F.octet_length("html").cast("long")})
-    again = p.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return p.join(again, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))).drop("first_id")
+    ids = p.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("page_id").alias("n_ids"), F.count("*").alias("n"))
+    again = scratch.save(ids.filter("first_id < last_id OR (n_ids > 0 AND n_ids < n)").select("payload_digest", "first_id"), "again")
+    marked = bloom.flagged(p, scratch.save(bloom.of(again, "payload_digest"), "filter"), "payload_digest")
+    alone = marked.filter(~F.col("__maybe")).drop("__maybe").withColumn("refers_to", F.lit(None).cast(p.schema["page_id"].dataType))
+    met = marked.filter("__maybe").drop("__maybe").join(again, "payload_digest", "left")
+    return alone.unionByName(met.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))).drop("first_id"))
 
 
 def write_archives(classified: DataFrame, path: str, records_per_file: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write gzipped WARC files; a revisit has no block. The records' end is the line separator of Spark's text writer."""
+    """Write gzipped WARC files; a revisit has no block. The records' end is the line separator of Spark's text writer.
+    Spark's first task writes a file even if it has no rows; such files (EMPTY is what gzip makes of nothing) are removed."""
     name = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     again = F.col("refers_to").isNotNull()
@@ -55,6 +66,10 @@ def write_archives(classified: DataFrame, path: str, records_per_file: int = 100
     head = F.concat_ws(CRLF, *lines[:-1])
     value = F.concat(head, F.lit(CRLF), F.when(again, F.lit(CRLF)).otherwise(lines[-1]))
     classified.select(value.alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    fs = Fs(classified.sparkSession)
+    for p, size, _ in fs.list(path):
+        if p.endswith(".gz") and size <= EMPTY:
+            fs.delete(p)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:

@@ -1,12 +1,14 @@
 import gzip
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from alluvia.llm import queries, sharding, warc
+from alluvia.llm import bloom, queries, sharding, warc
 from alluvia.storage import Fs
 from tests.oracle import compare, connect
 
@@ -58,6 +60,55 @@ def test_an_altered_archive_is_noticed(spark, tmp_path):
         warc.read_archives(spark, f"{tmp_path}/b").collect()
 
 
+def exchanged(spark, job):
+    """Bytes that the exchanges of a job wrote."""
+    sc = spark._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = total()
+    job()
+    return total() - before
+
+
+def noise(n):
+    rng = random.Random(n)
+    return "".join(rng.choices(string.ascii_letters, k=20_000))
+
+
+def test_only_pages_with_revisits_are_exchanged_to_find_them(spark, tmp_path):
+    """Rows of one page_id (20 to 39) are all responses, so there is nothing to find for them either. What repeats is not taken to be small."""
+    pages = [(i, "u", noise(i)) for i in range(200)] + [(i, "v", noise(i)) for i in range(20, 40)] + [(i, "u", noise(i % 10)) for i in range(300, 320)]
+    spark.createDataFrame(pages, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/p")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sent = exchanged(spark, lambda: warc.write_archives(warc.classify(spark.read.parquet(f"{tmp_path}/p")), f"{tmp_path}/a"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sent < 60 * 20_000
+    kinds = Counter(r.record_type for r in warc.read_archives(spark, f"{tmp_path}/a").select("record_type").collect())
+    assert kinds == {"response": 220, "revisit": 20}
+
+
+@pytest.mark.parametrize("slots", [1, bloom.SLOTS])
+def test_revisits_by_brute_force(spark, slots, monkeypatch):
+    """With a filter of one slot nearly every page passes it wrongly."""
+    monkeypatch.setattr(bloom, "SLOTS", slots)
+    rng = random.Random(slots)
+    texts = [None, "", "x" * 99, "x" * 100, "ä" * 50, *[f"{i} " * 60 for i in range(60)]]
+    pages = [(rng.choice([None, *range(-40, 60)]), None, rng.choice(texts)) for _ in range(300)] + [(None, None, "n" * 100)] * 3 + [(7, None, "t" * 100)] * 3
+    first = {}
+    for i, _, text in pages:
+        if i is not None and len((text or "").encode()) >= 100:
+            first[text] = min(i, first.get(text, i))
+    of = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
+    want = Counter((i, len((text or "").encode()), of(text), first[text] if text in first and i != first[text] else None) for i, _, text in pages)
+    rows = warc.classify(spark.createDataFrame(pages, SCHEMA)).select("page_id", "payload_bytes", "payload_digest", "refers_to").collect()
+    assert Counter(map(tuple, rows)) == want and any(r.refers_to is not None for r in rows)
+
+
 def test_no_pages(spark, tmp_path):
     warc.write_archives(warc.classify(spark.createDataFrame([], SCHEMA)), f"{tmp_path}/a")
     warc.write_store(warc.read_archives(spark, f"{tmp_path}/a"), f"{tmp_path}/s")
