@@ -30,7 +30,7 @@ def with_zorder(df: DataFrame, columns: Sequence[str], name: str = "__z") -> Dat
     probes = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     found = df.agg(*[F.percentile_approx(v, probes, 10_000).alias(f"q{i}") for i, v in enumerate(values)]).first()
     places = [f"{name}{i}" for i in range(len(columns))]
-    out = df.withColumns({p: bucketed(v, sorted(set(q or []))) for p, v, q in zip(places, values, found)})
+    out = bucketed(df, {p: (v, sorted(set(q or []))) for p, v, q in zip(places, values, found)})
     key = F.lit(0).cast("long")
     for i, p in enumerate(places):
         for b in range(BITS):
@@ -38,16 +38,15 @@ def with_zorder(df: DataFrame, columns: Sequence[str], name: str = "__z") -> Dat
     return out.withColumn(name, key).drop(*places)
 
 
-def bucketed(v: Column, bounds: list[float]) -> Column:
-    """How many bounds lie at or below the value, by nested halving."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(v.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+def bucketed(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """Adds, under each name, how many bounds (fewer than 256) lie at or below the value; 0 for null. A place is found bit by bit, each in a projection of its own:
+    as one tree of conditions they make a method of more than 8000 bytes, which the JVM never compiles."""
+    arrays = {p: F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>") for p, (_, bounds) in wanted.items()}
+    out = df.withColumns({f"{p}v": v for p, (v, _) in wanted.items()} | {p: F.lit(0) for p in wanted})
+    for bit in (1 << b for b in reversed(range(BITS))):  # there is no bound, but null, past the last; null is not at or below anything
+        found = {p: F.col(f"{p}v") >= F.get(arrays[p], F.col(p).bitwiseOR(F.lit(bit - 1))) for p in wanted}
+        out = out.withColumns({p: F.col(p).bitwiseOR(F.when(f, bit).otherwise(0)) for p, f in found.items()})
+    return out.drop(*[f"{p}v" for p in wanted])
 
 
 def compact(table: VersionedTable, file_bytes: int = FILE_BYTES) -> int | None:

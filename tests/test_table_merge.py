@@ -1,3 +1,5 @@
+import math
+from bisect import bisect_right
 from datetime import date, datetime, timezone
 
 import pytest
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alluvia.operators import merge
-from alluvia.operators.maintenance import compact, maintain, vacuum, zorder
+from alluvia.operators.maintenance import bucketed, compact, maintain, vacuum, with_zorder, zorder
 from alluvia.sources.table import ConcurrentWriteError, TableMissing, VersionedTable
 
 T1, T2, T3 = (datetime(2024, 1, d, tzinfo=timezone.utc) for d in (1, 2, 3))
@@ -197,6 +199,25 @@ def test_zorder_clusters_both_columns(spark, table):
     assert len(table.files()) > 3 and spans.agg(F.avg("a") + F.avg("b")).first()[0] < 126
 
 
+def test_zorder_key_is_small_enough_for_the_jvm_to_compile(spark):
+    ids = spark.range(20_000).select(*[(F.col("id") * k % 20_000).alias(c) for c, k in zip("abcd", (1, 7, 11, 13))])
+    debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+    for columns in (["a", "b"], ["a", "b", "c", "d"]):
+        stages = debug.codegenStringSeq(with_zorder(ids, columns)._jdf.queryExecution().executedPlan())
+        assert stages.size() and all(0 < stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+
+
+def test_zorder_places_count_the_bounds_at_or_below(spark):
+    values = [None, -math.inf, -1.0, -0.0, 0.5, 3.0, 63.5, 254.0, 255.0, 1e9, math.inf, math.nan]
+    bounds = {f"p{n}": [float(i) for i in range(n)] for n in (0, 1, 2, 7, 100, 255)}
+    df = bucketed(frame(spark, [(i, v) for i, v in enumerate(values)]), {p: (F.col("v"), b) for p, b in bounds.items()})
+    assert df.columns == ["id", "v", *bounds]
+    for r in df.collect():
+        v = values[r.id]
+        for p, b in bounds.items():
+            assert r[p] == (0 if v is None else len(b) if math.isnan(v) else bisect_right(b, v)), (p, v)
+
+
 def test_appends_that_each_add_a_column_keep_both(spark, tmp_path):
     path = f"file://{tmp_path}/both"
     VersionedTable(spark, path).create(spark.range(1).selectExpr("id"))
